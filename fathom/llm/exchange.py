@@ -58,8 +58,10 @@ def chunk_count(total_bytes: int, chunk_bytes: int = 8 << 20, least: int = 64) -
 
 def split_buckets(keys: np.ndarray, bits: int, buckets: int) -> list[tuple[int, int, int]]:
     """(bucket, from, to) of the sorted keys below 2^bits; buckets is a power of two."""
+    if not len(keys):
+        return []
     which = (keys >> np.uint64(bits - buckets.bit_length() + 1)).astype(np.int64)
-    starts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]]) if len(keys) else []
+    starts = np.flatnonzero(np.r_[True, which[1:] != which[:-1]])
     return [(int(which[a]), int(a), int(b)) for a, b in zip(starts, [*starts[1:], len(keys)], strict=True)]
 
 

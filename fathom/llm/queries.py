@@ -8,10 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import compression, decontam, mixing, sharding
+from fathom.llm import compression, decontam, jaccard, mixing, repeats, sharding
 from fathom.llm.shared import table
 
 
+def op3_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, sf_dir, "documents"), repeats.Repeats(length=200)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Join(width=4, percent=85)).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = sharding.shard(table(spark, sf_dir, "documents"), n_shards=16, keep=["doc_id"])
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
@@ -34,5 +42,5 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op6_virtual_slots, op8_entropy_mixing, op9_compression_bands, op10_prefix_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_difference_cover, op5_ngram_jaccard, op6_virtual_slots, op8_entropy_mixing, op9_compression_bands, op10_prefix_decontamination)}
 ORACLE_SQL: dict[str, str] = {}
