@@ -8,10 +8,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import compression, decontam, jaccard, mixing, repeats, sharding
+from fathom.llm import compression, decontam, importance, jaccard, langid, mixing, repeats, sharding, warc
 from fathom.llm.shared import table
 
 
+def op1_warc_capture_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), repeats.Repeats(length=200)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
@@ -25,6 +33,13 @@ def op6_virtual_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
+def op7_word_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    model = langid.learn(documents.filter(~langid.held_out(F.col("doc_id"))))
+    held = documents.select("doc_id", "text")
+    return langid.identify(held, model).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op8_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"), share=1.5, cap=2.0).select("doc_id", "size", "source_size", "target", "taken", "source", "rate", "copies")
 
@@ -42,5 +57,16 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_difference_cover, op5_ngram_jaccard, op6_virtual_slots, op8_entropy_mixing, op9_compression_bands, op10_prefix_decontamination)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_importance_resampling, op3_difference_cover, op5_ngram_jaccard, op6_virtual_slots, op7_word_backoff, op8_entropy_mixing, op9_compression_bands, op10_prefix_decontamination)}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc_capture_index": """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages
+), f AS (
+  SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first_id FROM p
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
+FROM f""",
+}
