@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import compression, decontam, importance, jaccard, langid, mixing, repeats, sharding, warc
+from fathom.llm import compression, ctw, decontam, importance, jaccard, langid, mixing, repeats, sharding, warc
 from fathom.llm.shared import table
 
 
@@ -24,6 +24,10 @@ def op3_difference_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.remove_repeats(table(spark, sf_dir, "documents"), repeats.Repeats(length=200)).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op4_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score(table(spark, sf_dir, "documents"))
+
+
 def op5_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents"), jaccard.Join(width=4, percent=85)).select("doc_id", "n_shingles", "component_id", "n_links")
 
@@ -57,7 +61,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_importance_resampling, op3_difference_cover, op5_ngram_jaccard, op6_virtual_slots, op7_word_backoff, op8_entropy_mixing, op9_compression_bands, op10_prefix_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_importance_resampling, op3_difference_cover, op4_context_tree, op5_ngram_jaccard, op6_virtual_slots, op7_word_backoff, op8_entropy_mixing, op9_compression_bands, op10_prefix_decontamination)}
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_capture_index": """
 WITH p AS (
