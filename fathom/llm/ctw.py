@@ -37,7 +37,7 @@ _GATHER = pow(_SCATTER, -1, 1 << 16)
 
 @dataclass(frozen=True)
 class Tree:
-    depth: int = 4
+    depth: int = 5
     modulus: int = 10
     chunk_bytes: int = 8 << 20
     batch_bytes: int = 1 << 20
