@@ -78,11 +78,15 @@ def tilts(histogram: DataFrame, goals: DataFrame, cap: float, tolerance: float =
     return state.select("source", "mean", F.when(F.col("inner"), F.col("lam")).alias("lam"), "target")
 
 
+def _row_key(id_col: str, text_col: str, source_col: str) -> Column:
+    return F.xxhash64(id_text(F.col(id_col)), F.coalesce(F.col(text_col), F.lit("")), F.coalesce(F.col(source_col), F.lit("")))
+
+
 def mix(documents: DataFrame, share: float = 1.5, cap: float = 2.0, bucket: int = 256, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, rate, copies, taken."""
     path = shared_dir(documents.sparkSession)
     text = F.col(text_col)
-    sized = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), F.xxhash64(id_text(F.col(id_col)), F.coalesce(text, F.lit(""))).alias("h"))
+    sized = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), _row_key(id_col, text_col, source_col).alias("h"))
     sized = materialise(sized, f"{path}/sized")
     histogram = materialise(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")), f"{path}/histogram")
     sources = histogram.groupBy("source").agg(F.sum(F.col("docs") * F.col("size")).alias("source_size"), F.sum("docs").alias("source_docs"))
@@ -109,15 +113,11 @@ def mix(documents: DataFrame, share: float = 1.5, cap: float = 2.0, bucket: int
 
 
 def mixed_documents(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **settings) -> DataFrame:
-    """The documents, each as often as it is taken, all columns as they were. Rows equal in id, source and text share their copies in the order of the
-    copies' number."""
+    """The documents, each as often as it is taken, all columns as they were. Rows equal in id, source and text share what they are taken for in any order."""
     made = mix(documents, id_col=id_col, text_col=text_col, source_col=source_col, **settings)
-    per = made.groupBy("doc_id", "source", "h").agg(F.array_sort(F.collect_list("copies")).alias("__copies")).select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("h").alias("__h"), "__copies")
-    key = F.xxhash64(id_text(F.col(id_col)), F.coalesce(F.col(text_col), F.lit("")))
-    rows = documents.withColumn("__key", key)
-    joined = rows.join(per, (F.col("__key") == F.col("__h")) & F.col(id_col).eqNullSafe(F.col("__id")) & F.col(source_col).eqNullSafe(F.col("__source")))
-    single = joined.filter(F.size("__copies") == 1).withColumn("__n", F.col("__copies")[0])
-    number = F.row_number().over(Window.partitionBy("__key", id_col, source_col).orderBy("__key"))
-    several = joined.filter(F.size("__copies") > 1).withColumn("__n", F.element_at("__copies", number))
-    both = single.unionByName(several).filter(F.col("__n") > 0)
-    return both.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n")))).select(*[F.col(f"`{c}`") for c in documents.columns])
+    per = made.groupBy("h").agg(F.array_sort(F.collect_list("copies")).alias("__copies"))
+    rows = documents.withColumn("__key", _row_key(id_col, text_col, source_col)).join(per, F.col("__key") == F.col("h"))
+    number = F.row_number().over(Window.partitionBy("__key").orderBy("__key"))
+    times = F.element_at("__copies", number)
+    taken = rows.withColumn("__n", times).filter("__n > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__n"))))
+    return taken.select(*[F.col(f"`{c}`") for c in documents.columns])
