@@ -89,10 +89,17 @@ def _unique_counts(names: list[np.ndarray], copied: list[bool]) -> tuple[np.ndar
     twice = counts > 1
     many = [n for n, c in zip(names, copied, strict=True) if c and len(n)]
     if many:
-        twice |= np.isin(keys, np.concatenate(many))
+        twice |= _among(keys, np.unique(np.concatenate(many)))
     return keys, 1 + twice.astype(np.uint64)
 
 
+def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """Which values are in a sorted array; a binary search each, whatever the size of `known`."""
+    if not len(known):
+        return np.zeros(len(values), bool)
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values
+
+
 def _bits(found: list[bytes], sizes: list[int]) -> np.ndarray:
     return np.concatenate([np.unpackbits(np.frombuffer(x, np.uint8), count=n).view(bool) for x, n in zip(found, sizes, strict=True)]) if found else np.zeros(0, bool)
 
@@ -137,7 +144,7 @@ class _Names:
         known = self._repeated(self.first()[0], found, self.bits)
         places, names = [], []
         for (_, text, _), (at, _), short in zip(self.texts, self.samples, self.short, strict=True):
-            i = _remaining(text, at, np.isin(short, known), self.how)
+            i = _remaining(text, at, _among(short, known), self.how)
             places.append(i)
             names.append(hashing.spans(hashing.prefix_sums(np.frombuffer(text, np.uint8)), i, i + self.how.length) if len(i) else np.zeros(0, np.uint64))
         return places, names
@@ -204,7 +211,7 @@ def repeated_spans(documents: DataFrame, how: Repeats = Repeats(), text_col: str
         known = of._repeated(of.second_request(names)[0], two, 64)
         out = []
         for (key, text, copied), i, n in zip(of.texts, places, names, strict=True):
-            runs = covered(len(text), i[np.isin(n, known)], how.length)
+            runs = covered(len(text), i[_among(n, known)], how.length)
             if copied and len(text) >= how.length:
                 runs = np.array([[0, len(text)]])
             kept = hashlib.sha256()
