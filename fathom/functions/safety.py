@@ -71,19 +71,28 @@ def secret_spans(text: str) -> list[tuple[str, int, int, str]]:
     return kept
 
 
-@F.pandas_udf("array<struct<kind:string,start:int,end:int,replacement:string>>")
-def find_secrets(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: [dict(zip(("kind", "start", "end", "replacement"), s, strict=True)) for s in secret_spans(t or "")])
+def find_secrets(text: Column) -> Column:
+    """Spans of a text's secrets: array<struct<kind, start, end, replacement>>."""
 
+    @F.pandas_udf("array<struct<kind:string,start:int,end:int,replacement:string>>")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: [dict(zip(("kind", "start", "end", "replacement"), s, strict=True)) for s in secret_spans(t or "")])
 
-@F.pandas_udf("string")
-def redact_secrets(text: pd.Series) -> pd.Series:
-    def one(t: str) -> str:
-        for _, a, b, to in reversed(secret_spans(t)):
-            t = t[:a] + to + t[b:]
-        return t
+    return run(text)
 
-    return text.map(lambda t: one(t or ""))
+
+def without_secrets(text: str) -> str:
+    for _, a, b, to in reversed(secret_spans(text)):
+        text = text[:a] + to + text[b:]
+    return text
+
+
+def redact_secrets(text: Column) -> Column:
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: without_secrets(t or ""))
+
+    return run(text)
 
 
 # Phrases that try to steer a model, and how sure they are.

@@ -82,7 +82,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, id_col: str = "vec_id",
     dealt = rows.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     units = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), "b", "id", "v")
 
-    def run(key, unit: pa.Table) -> pa.Table:
+    def run(key, unit):
         p, q = (k.as_py() for k in key)
         ids, blocks = unit["id"].to_numpy(), unit["b"].to_numpy()
         left, right = blocks == p, blocks == q
