@@ -1 +1,143 @@
-"""Queries."""
+"""Queries on graphs: near-vector links, co-occurrence, walks, communities, paths, orders."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from fathom.operators import graph
+from fathom.plans import data
+from fathom.plans.catalogue import query
+
+N = F.count(F.lit(1))
+STEPS = 6
+
+
+def _vertices(spark, d):
+    return data.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
+
+
+_UND = f"{data.PAIRS}, und AS (SELECT id_a AS u, id_b AS v, similarity AS w FROM pr UNION ALL SELECT id_b, id_a, similarity FROM pr)"
+
+
+@query("degree_centrality", f"WITH {_UND}, g AS (SELECT u AS id, count(*) AS n FROM und GROUP BY u) SELECT e.vec_id AS id, coalesce(n, 0) AS degree, round(coalesce(n / (SELECT max(n) FROM g), 0.0), 6) AS normalized_degree FROM embeddings e LEFT JOIN g ON g.id = e.vec_id")
+def degree_centrality(spark, d):
+    return graph.degrees(_vertices(spark, d), data.edges(spark, d)).select("id", "degree", F.round("normalized_degree", 6).alias("normalized_degree"))
+
+
+@query("isolated_nodes", f"WITH {_UND} SELECT vec_id AS id FROM embeddings WHERE vec_id NOT IN (SELECT u FROM und)")
+def isolated_nodes(spark, d):
+    return graph.isolated(_vertices(spark, d), data.edges(spark, d))
+
+
+@query("relation_counts", f"WITH {data.PAIRS} SELECT 'similar_to' AS relation, count(*) AS n, round(avg(similarity), 6) AS mean FROM pr")
+def relation_counts(spark, d):
+    return data.edges(spark, d).groupBy("relation").agg(N.alias("n"), F.round(F.avg("weight"), 6).alias("mean"))
+
+
+@query("bfs_depth2", f"WITH {_UND}, s AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 100 = 0), l1 AS (SELECT DISTINCT id AS start, v AS node FROM s JOIN und ON u = id WHERE v <> id), l2 AS (SELECT DISTINCT l.start, v AS node FROM l1 l JOIN und ON u = node WHERE v <> l.start AND NOT EXISTS (SELECT 1 FROM l1 x WHERE x.start = l.start AND x.node = v)) SELECT id AS start, id AS node, 0::BIGINT AS depth FROM s UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2")
+def bfs_depth2(spark, d):
+    return graph.bfs(data.edges(spark, d), _vertices(spark, d).filter("id % 100 = 0"), 2).select("start", "node", "depth")
+
+
+@query("components", f"WITH RECURSIVE {_UND}, r(node, other) AS (SELECT u, u FROM und UNION SELECT r.node, und.v FROM r JOIN und ON und.u = r.other) SELECT node, min(other) AS component FROM r GROUP BY node")
+def components(spark, d):
+    return graph.components(data.edges(spark, d))
+
+
+def _walk_sql(home: str, steps: int) -> str:
+    parts = [f"nv AS (SELECT count(*) AS n FROM embeddings)", "outw AS (SELECT id_a AS s, sum(similarity) AS a FROM pr GROUP BY id_a)", "fl AS (SELECT id_a AS s, id_b AS t, similarity / a AS share FROM pr JOIN outw ON s = id_a)", f"hm AS ({home})", "r0 AS MATERIALIZED (SELECT vec_id AS id, 1.0::DOUBLE / n AS rank FROM embeddings, nv)"]
+    for k in range(steps):
+        parts.append(
+            f"r{k + 1} AS MATERIALIZED (SELECT v.vec_id AS id, 0.85::DOUBLE * (coalesce(g.got, 0) + (SELECT coalesce(sum(rank), 0) FROM r{k} WHERE id NOT IN (SELECT s FROM outw)) / n) + 0.15::DOUBLE * coalesce(h.home, 0) AS rank "
+            f"FROM embeddings v LEFT JOIN (SELECT t, sum(rank * share) AS got FROM fl JOIN r{k} ON r{k}.id = fl.s GROUP BY t) g ON g.t = v.vec_id LEFT JOIN hm h ON h.id = v.vec_id, nv)"
+        )
+    return f"WITH {data.PAIRS}, {', '.join(parts)} SELECT id, round(rank, 8) AS rank FROM r{steps}"
+
+
+@query("pagerank", _walk_sql("SELECT vec_id AS id, 1.0::DOUBLE / n AS home FROM embeddings, nv", STEPS))
+def pagerank(spark, d):
+    return graph.pagerank(_vertices(spark, d), data.edges(spark, d), steps=STEPS, tolerance=0).select("id", F.round("rank", 8).alias("rank"))
+
+
+@query("personalized_pagerank", _walk_sql("SELECT vec_id AS id, 0.2::DOUBLE AS home FROM embeddings WHERE vec_id < 5", STEPS))
+def personalized_pagerank(spark, d):
+    seeds = _vertices(spark, d).filter("id < 5").select("id", F.lit(1.0).alias("weight"))
+    return graph.personalized_pagerank(_vertices(spark, d), data.edges(spark, d), seeds, steps=STEPS, tolerance=0).select("id", F.round("rank", 8).alias("rank"))
+
+
+_SP = ["d0 AS (SELECT vec_id AS id, 0.0::DOUBLE AS dist FROM embeddings WHERE vec_id = (SELECT min(u) FROM und))"] + [
+    f"d{k + 1} AS MATERIALIZED (SELECT id, min(dist) AS dist FROM (SELECT id, dist FROM d{k} UNION ALL SELECT v, dist + 1 / w FROM d{k} JOIN und ON u = id) GROUP BY id)" for k in range(25)
+]
+
+
+@query("shortest_path", f"WITH {_UND}, {', '.join(_SP)} SELECT id AS node, round(dist, 6) AS distance FROM d25")
+def shortest_path(spark, d):
+    e = graph.cut(data.edges(spark, d))
+    start = e.agg(F.min(F.least("source_id", "target_id"))).first()[0]
+    return graph.shortest_paths(e, start).select("node", F.round("distance", 6).alias("distance"))
+
+
+@query("label_propagation")
+def label_propagation(spark, d):
+    return graph.label_propagation(data.edges(spark, d), steps=20)
+
+
+@query("louvain")
+def louvain(spark, d):
+    return graph.louvain(data.edges(spark, d))
+
+
+@query("betweenness")
+def betweenness(spark, d):
+    return graph.betweenness(data.edges(spark, d)).select("id", F.round("betweenness", 9).alias("betweenness"))
+
+
+@query("articulation_points")
+def articulation_points(spark, d):
+    return graph.articulation_points(data.edges(spark, d))
+
+
+_PAIR = "WITH x AS (SELECT DISTINCT l_orderkey AS k, {0} AS f FROM lineitem), s AS (SELECT k FROM x GROUP BY k HAVING count(*) BETWEEN 1 AND 50), n AS (SELECT max(k) AS n FROM x)"
+
+
+@query("co_change", _PAIR.format("l_partkey") + " SELECT a.f AS file_a, b.f AS file_b, count(*) AS n, round(count(*) * avg(1 - 0.9::DOUBLE * a.k / n), 6) AS score FROM x a JOIN x b ON a.k = b.k AND a.f < b.f JOIN s ON s.k = a.k, n GROUP BY ALL HAVING count(*) >= 2")
+def co_change(spark, d):
+    """Parts of the same order as files of the same commit; orders count from the newest, those of over 50 parts are left out."""
+    x = data.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_partkey").alias("f")).distinct()
+    small = x.groupBy("k").agg(F.collect_set("f").alias("fs")).filter(F.size("fs").between(1, 50))  # at most 50 parts stay in a row
+    last = F.broadcast(x.agg(F.max("k").alias("n")))
+    a = small.crossJoin(last).select("k", "n", "fs", F.explode("fs").alias("file_a"))
+    pairs = a.select("k", "n", "file_a", F.explode(F.filter("fs", lambda f: f > F.col("file_a"))).alias("file_b"))
+    got = pairs.groupBy("file_a", "file_b").agg(N.alias("c"), F.avg(1 - 0.9 * F.col("k") / F.col("n")).alias("recency")).filter("c >= 2")
+    return got.select("file_a", "file_b", F.col("c").alias("n"), F.round(F.col("c") * F.col("recency"), 6).alias("score"))
+
+
+@query("proximity_pairs", "WITH x AS (SELECT DISTINCT l_orderkey AS k, l_suppkey AS f FROM lineitem), p AS (SELECT a.f AS id_a, b.f AS id_b, count(*) AS n FROM x a JOIN x b ON a.k = b.k AND a.f < b.f GROUP BY ALL HAVING count(*) >= 2) SELECT id_a, id_b, n, round(n / (SELECT max(n) FROM p), 6) AS weight FROM p")
+def proximity_pairs(spark, d):
+    """Suppliers that share orders."""
+    x = data.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("f")).distinct()
+    y = x.select("k", F.col("f").alias("g"))
+    p = x.join(y, "k").filter("f < g").groupBy(F.col("f").alias("id_a"), F.col("g").alias("id_b")).agg(N.alias("n")).filter("n >= 2")
+    most = F.broadcast(p.agg(F.max("n").alias("most")))
+    return p.crossJoin(most).select("id_a", "id_b", "n", F.round(F.col("n") / F.col("most"), 6).alias("weight"))
+
+
+@query("first_edges", "WITH x AS (SELECT l_partkey AS source_id, l_suppkey AS target_id, l_orderkey * 10 + l_linenumber AS id, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey * 10 + l_linenumber) AS n FROM lineitem) SELECT source_id, target_id, id FROM x WHERE n = 1")
+def first_edges(spark, d):
+    x = data.table(spark, d, "lineitem").select(F.col("l_partkey").alias("source_id"), F.col("l_suppkey").alias("target_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"))
+    return graph.first_edges(x)
+
+
+@query("topo_levels", "WITH RECURSIVE t(id, level) AS (SELECT doc_id, 0::BIGINT FROM documents WHERE doc_id = 0 UNION ALL SELECT d.doc_id, t.level + 1 FROM documents d JOIN t ON (d.doc_id - 1) // 4 = t.id AND d.doc_id > 0) SELECT id, level FROM t")
+def topo_levels(spark, d):
+    """Tasks of a tree of four branches."""
+    i = F.col("doc_id")
+    return graph.topological_levels(data.table(spark, d, "documents").select(i.alias("id"), F.when(i > 0, F.array(F.floor((i - 1) / 4))).otherwise(F.array().cast("array<bigint>")).alias("depends_on")))
+
+
+@query("reachable", "SELECT 0::BIGINT AS node UNION SELECT n_nationkey + 100 FROM nation WHERE n_regionkey = 0 UNION SELECT s_suppkey + 1000 FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 0")
+def reachable(spark, d):
+    """Region 0, its nations, their suppliers."""
+    n, s = data.table(spark, d, "nation"), data.table(spark, d, "supplier")
+    e = n.select(F.col("n_regionkey").cast("long").alias("source_id"), (F.col("n_nationkey") + 100).cast("long").alias("target_id")).unionAll(s.select((F.col("s_nationkey") + 100).cast("long"), (F.col("s_suppkey") + 1000).cast("long")))
+    return graph.reach(e, 0)

@@ -283,7 +283,7 @@ def rerank(spark, d):
 @query("graph_search")
 def graph_search(spark, d):
     """Hybrid results as seeds of personalised PageRank, both lists fused."""
-    base = _hybrid(spark, d, 20)
+    base = graph.cut(_hybrid(spark, d, 20))
     v = data.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
     seeds = base.filter("query_id = 1 and rank <= 10").select(F.col("doc_id").alias("id"), F.col("score").alias("weight"))
     walked = graph.personalized_pagerank(v, data.edges(spark, d), seeds, steps=10, tolerance=0).select(F.lit(1).cast("long").alias("query_id"), F.col("id").alias("doc_id"), F.round("rank", 12).alias("score"))
