@@ -21,7 +21,7 @@ def cut(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/fathom-checkpoints"
     path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.coalesce(max(32, 4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
