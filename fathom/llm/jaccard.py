@@ -218,6 +218,7 @@ def join(documents: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_
     least = found.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     ids = found.join(least, "component").select("node", "component_id").join(forest.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
     known = classes.join(ids, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
+    known = materialise(known, f"{path}/known")  # so that both sides of the next join are plain exchanges, whose hot keys Spark can split
     with_set = members.filter("node is not null").join(known, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", "node")
     return with_set.unionByName(members.filter("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "node"))
 
