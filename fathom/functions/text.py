@@ -53,7 +53,7 @@ def _singular(w: Column) -> Column:
 
 def _tense(w: Column) -> Column:
     cut = lambda n: F.substring(w, F.lit(1), F.length(w) - n)
-    return (
+    return F.when(~w.rlike("(?:ed|ing)$"), w).otherwise(
         F.when(w.endswith("eed"), F.when(F.length(w) > 4, cut(1)).otherwise(w))
         .when(w.endswith("ed"), F.when(cut(2).rlike("[aeiou]"), cut(2)).otherwise(w))
         .when(w.endswith("ing"), F.when(cut(3).rlike("[aeiou]"), cut(3)).otherwise(w))
@@ -62,11 +62,14 @@ def _tense(w: Column) -> Column:
 
 
 def _suffix(w: Column) -> Column:
+    """The longest suffix that leaves two letters is replaced. Most words match none of the replaced ones, so two patterns decide for them."""
+    changed = [(x, to) for x, to in SUFFIXES if to]
+    dropped = "|".join(x for x, to in SUFFIXES if not to)
     out = w
-    for suffix, to in reversed(SUFFIXES):
+    for suffix, to in reversed(changed):
         n = len(suffix)
         out = F.when(w.endswith(suffix) & (F.length(w) - n >= 2), F.concat(F.substring(w, F.lit(1), F.length(w) - n), F.lit(to))).otherwise(out)
-    return out
+    return F.when(w.rlike(f"^..+(?:{'|'.join(x for x, _ in changed)})$"), out).otherwise(F.regexp_replace(w, f"^(..+?)(?:{dropped})$", "$1"))
 
 
 def stems(tokens: Column) -> Column:
@@ -78,7 +81,7 @@ def doc_tokens(text: Column) -> Column:
     """Words of three letters or more outside code and markup: stems, then the words; distinct."""
     for pattern, to in ((r"```[\s\S]*?```", " "), ("`[^`]+`", " "), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"[#*_~>|]", " "), (r"\n", " ")):
         text = F.regexp_replace(text, pattern, to)
-    words = _pieces(_plain(text), 3)
+    words = F.array_distinct(_pieces(_plain(text), 3))
     return F.array_distinct(F.concat(stems(words), words))
 
 

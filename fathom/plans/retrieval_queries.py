@@ -21,7 +21,7 @@ def questions(spark: SparkSession) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> bm25.Index:
-    return bm25.build(data.table(spark, d, "documents"), T.doc_tokens(F.coalesce("text", F.lit(""))))
+    return bm25.build(data.table(spark, d, "documents"), T.doc_tokens(F.coalesce("text", F.lit(""))), stored=True)
 
 
 def _word_scores(spark: SparkSession, d: str) -> DataFrame:
