@@ -115,12 +115,18 @@ def _write_partition(batches: Iterator[pa.RecordBatch], root: str, layout: Layou
         entries.clear()
         keys.clear()
 
+    refers: dict[tuple, int] = {}
     for batch in batches:
         for row in batch.to_pylist():
+            if row["refers_to"] is not None:  # comes just before the rows of its page
+                refers[row["page_id"], row["digest"]] = row["refers_to"]
+                continue
             if out is None:
                 files.create_dir(base, recursive=True)
                 out, index_out = files.open_output_stream(archive, compression=None), files.open_output_stream(index, compression=None)
-            data = _record(row["page_id"], row["url"], row["payload"], row["digest"], row["refers_to"])
+            known = {k: v for k, v in refers.items() if k[0] == row["page_id"]}
+            refers = known
+            data = _record(row["page_id"], row["url"], row["payload"], row["digest"], known.get((row["page_id"], row["digest"])))
             out.write(data)
             entries.append(json.dumps([row["key"], row["page_id"], f"{name}.warc.gz", at, len(data)]))
             keys.append(row["key"])
@@ -141,12 +147,15 @@ def write_archives(pages: DataFrame, root: str, layout: Layout = Layout()) -> No
     """Writes archives, index files and the directory table (root/directory) for pages (page_id, url, html)."""
     payload = F.coalesce(F.col("html"), F.lit("")).cast("binary")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url"), F.lit("")).alias("url"), payload.alias("payload"), F.sha2(payload, 256).alias("digest"))
-    large = rows.filter(F.octet_length("payload") >= layout.least)
+    keyed = rows.withColumn("key", url_key(F.col("url")))
+    large = keyed.filter(F.octet_length("payload") >= layout.least).select("page_id", "digest", "key")
     first = large.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("digest").alias("d"), "first")
-    dealt = rows.join(first, F.col("digest") == F.col("d"), "left").withColumn("key", url_key(F.col("url")))
-    dealt = dealt.select("page_id", "url", "payload", "digest", F.when(F.col("page_id") != F.col("first"), F.col("first")).alias("refers_to"), "key")
+    revisits = large.join(first, F.col("digest") == F.col("d")).filter("page_id <> first").distinct()
+    # Only digests are joined. What a page refers to travels as a row of its own that sorts before the page, so payloads move once.
+    marks = revisits.select("page_id", F.lit("").alias("url"), F.lit(None).cast("binary").alias("payload"), "digest", F.col("first").alias("refers_to"), "key")
+    dealt = marks.unionAll(keyed.select("page_id", "url", "payload", "digest", F.lit(None).cast("long").alias("refers_to"), "key"))
     n = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = dealt.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id")
+    ordered = dealt.repartitionByRange(n, "key", "page_id").sortWithinPartitions("key", "page_id", F.col("refers_to").asc_nulls_last())
     ordered.mapInArrow(lambda batches: _write_partition(batches, root, layout), _DIRECTORY).write.parquet(f"{root}/directory")
 
 
