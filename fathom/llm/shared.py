@@ -20,9 +20,16 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/fathom-{uuid.uuid4().hex}"
 
 
+def compact(df: DataFrame) -> DataFrame:
+    """Fewer, larger tasks for a write, where many small partitions would each make a file. No rows move, and a task takes its partitions one after another, so
+    its memory is that of the largest."""
+    spark = df.sparkSession
+    return df.coalesce(max(32, 4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+
+
 def materialise(df: DataFrame, path: str) -> DataFrame:
     """Cuts lineage: writes df as a table in the shared folder and reads it back with the same schema."""
-    df.write.mode("overwrite").parquet(path)
+    compact(df).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
