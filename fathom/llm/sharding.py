@@ -58,9 +58,10 @@ class SlotMap:
             shard[s] = min(range(n), key=lambda k: (total[k], k))
             total[shard[s]] += sizes[s]
             moved.append(s)
+        open_ = range(self.n_shards, n) if n > self.n_shards else range(n)  # a grown map takes slots into the new shards only
         for s in sorted(range(len(shard)), key=lambda s: (-sizes[s], s)):
-            k, to = shard[s], min(range(n), key=lambda k: (total[k], k))
-            if total[k] > mean * (1 + slack) and total[to] + sizes[s] <= max(mean * (1 + slack), total[k] - 1) and sizes[s]:
+            k, to = shard[s], min(open_, key=lambda k: (total[k], k))
+            if k != to and sizes[s] and total[k] > mean * (1 + slack) and total[to] + sizes[s] <= mean * (1 + slack):
                 shard[s] = to
                 total[k] -= sizes[s]
                 total[to] += sizes[s]
