@@ -78,11 +78,14 @@ def stems(tokens: Column) -> Column:
 
 
 def doc_tokens(text: Column) -> Column:
-    """Words of three letters or more outside code and markup: stems, then the words; distinct."""
-    for pattern, to in ((r"```[\s\S]*?```", " "), ("`[^`]+`", " "), (r"\[([^\]]+)\]\([^)]+\)", "$1"), (r"[#*_~>|]", " "), (r"\n", " ")):
+    """Words of three letters or more outside code and markup, and their stems; distinct."""
+    for pattern, to in ((r"```[\s\S]*?```", " "), ("`[^`]+`", " "), (r"\[([^\]]+)\]\([^)]+\)", "$1")):
         text = F.regexp_replace(text, pattern, to)
-    words = F.array_distinct(_pieces(_plain(text), 3))
-    return F.array_distinct(F.concat(stems(words), words))
+    words = F.array_distinct(F.transform(F.filter(F.split(text, "[^a-zA-Z0-9]+"), lambda t: F.length(t) > 2), F.lower))
+    # Word and stem go through the steps as a pair, since a second use of `words` would compute it again.
+    pairs = F.transform(words, lambda w: F.struct(w.alias("w"), _singular(w).alias("s")))
+    pairs = F.transform(pairs, lambda p: F.struct(p["w"].alias("w"), _tense(p["s"]).alias("s")))
+    return F.array_distinct(F.flatten(F.transform(pairs, lambda p: F.array(_suffix(p["s"]), p["w"]))))
 
 
 def token_count(text: Column) -> Column:

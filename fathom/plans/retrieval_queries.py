@@ -11,6 +11,7 @@ from fathom.functions import vectors as V
 from fathom.operators import bm25, graph, hooks, metrics, retrieval
 from fathom.plans import data, sqltext
 from fathom.plans.catalogue import query
+from fathom.sources import readers
 
 QUESTIONS = [(1, "the and attion thoueding"), (2, "which anon the ereea onnthe"), (3, "queeau mentier avec les")]
 _Q = "q(query_id, qt) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in QUESTIONS) + ")"
@@ -21,7 +22,7 @@ def questions(spark: SparkSession) -> DataFrame:
 
 
 def _index(spark: SparkSession, d: str) -> bm25.Index:
-    return bm25.build(data.table(spark, d, "documents"), T.doc_tokens(F.coalesce("text", F.lit(""))), stored=True)
+    return bm25.build(readers.spread(data.table(spark, d, "documents").select("doc_id", "text")), T.doc_tokens(F.coalesce("text", F.lit(""))), stored=True)
 
 
 def _word_scores(spark: SparkSession, d: str) -> DataFrame:

@@ -13,11 +13,11 @@ from fathom.sources import readers
 
 
 def _docs(spark, d):
-    return data.table(spark, d, "documents")
+    return readers.spread(data.table(spark, d, "documents").select("doc_id", "text", "lang", "source"))
 
 
 def _talks(spark, d):
-    return data.table(spark, d, "conversations")
+    return readers.spread(data.table(spark, d, "conversations"))
 
 
 @query("token_count", "SELECT doc_id, CAST(ceil(length(text) / 3.5) AS BIGINT) AS tokens FROM documents")

@@ -18,6 +18,12 @@ def content_type(path: Column) -> Column:
     return out
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where a table has fewer files than those: a file of one row group is otherwise one task, however costly its rows are. Larger tables stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def files(spark: SparkSession, path: str, glob: str = "*", most_bytes: int = 1 << 20) -> DataFrame:
     """path, content, content_hash, modified_at of the files below a folder; ignored folders and files over the size stay out before they are read."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(path).filter(F.col("length") <= most_bytes).filter(~F.col("path").rlike(IGNORED))
