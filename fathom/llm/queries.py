@@ -62,6 +62,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_importance_resampling, op3_difference_cover, op4_context_tree, op5_ngram_jaccard, op6_virtual_slots, op7_word_backoff, op8_entropy_mixing, op9_compression_bands, op10_prefix_decontamination, pipeline)}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_capture_index": """
 WITH p AS (
@@ -73,4 +74,30 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN 'revisit' ELSE 'response' END AS record_type,
   CASE WHEN payload_bytes >= 100 AND page_id <> first_id THEN first_id END AS refers_to
 FROM f""",
+    "op5_ngram_jaccard": f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' '))) END AS ss FROM w
+), x AS (SELECT doc_id, unnest(ss) AS g FROM s), k AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM k JOIN s p ON p.doc_id = a JOIN s q ON q.doc_id = b WHERE 100 * c >= 85 * (len(p.ss) + len(q.ss) - c)
+), r(node, other) AS (SELECT doc_id, doc_id FROM s UNION SELECT node, b FROM r JOIN l ON l.a = other)
+SELECT s.doc_id, CAST(len(ss) AS BIGINT) AS n_shingles, (SELECT min(other) FROM r WHERE node = s.doc_id) AS component_id, (SELECT count(*) FROM l WHERE a = s.doc_id) AS n_links FROM s""",
+    "op10_prefix_decontamination": f"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents
+), i AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark
+), iw AS (
+  SELECT DISTINCT item_id, least(13, len(ws)) AS k, unnest(list_transform(range(1, len(ws) - least(13, len(ws)) + 2), lambda j: array_to_string(ws[j:j + least(13, len(ws)) - 1], ' '))) AS w FROM i WHERE len(ws) > 0
+), ks AS (SELECT DISTINCT k FROM iw), p AS (
+  SELECT doc_id, ws, k, unnest(range(1, len(ws) - k + 2)) AS j FROM d, ks WHERE len(ws) >= k
+), h AS (SELECT p.doc_id, p.j, p.k, iw.item_id FROM p JOIN iw ON iw.k = p.k AND iw.w = array_to_string(p.ws[p.j:p.j + p.k - 1], ' ')),
+c AS (SELECT doc_id, count(DISTINCT n) AS n_hit FROM (SELECT doc_id, unnest(range(j, j + k)) AS n FROM h) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS items FROM h GROUP BY doc_id)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN c USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }
