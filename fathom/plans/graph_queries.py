@@ -8,7 +8,8 @@ from fathom.operators import graph
 from fathom.plans import data
 from fathom.plans.catalogue import query
 
-N = F.count(F.lit(1))
+def _n():
+    return F.count(F.lit(1))
 STEPS = 6
 
 
@@ -31,7 +32,7 @@ def isolated_nodes(spark, d):
 
 @query("relation_counts", f"WITH {data.PAIRS} SELECT 'similar_to' AS relation, count(*) AS n, round(avg(similarity), 6) AS mean FROM pr")
 def relation_counts(spark, d):
-    return data.edges(spark, d).groupBy("relation").agg(N.alias("n"), F.round(F.avg("weight"), 6).alias("mean"))
+    return data.edges(spark, d).groupBy("relation").agg(_n().alias("n"), F.round(F.avg("weight"), 6).alias("mean"))
 
 
 @query("bfs_depth2", f"WITH {_UND}, s AS (SELECT vec_id AS id FROM embeddings WHERE vec_id % 100 = 0), l1 AS (SELECT DISTINCT id AS start, v AS node FROM s JOIN und ON u = id WHERE v <> id), l2 AS (SELECT DISTINCT l.start, v AS node FROM l1 l JOIN und ON u = node WHERE v <> l.start AND NOT EXISTS (SELECT 1 FROM l1 x WHERE x.start = l.start AND x.node = v)) SELECT id AS start, id AS node, 0::BIGINT AS depth FROM s UNION ALL SELECT *, 1 FROM l1 UNION ALL SELECT *, 2 FROM l2")
@@ -108,7 +109,7 @@ def co_change(spark, d):
     last = F.broadcast(x.agg(F.max("k").alias("n")))
     a = small.crossJoin(last).select("k", "n", "fs", F.explode("fs").alias("file_a"))
     pairs = a.select("k", "n", "file_a", F.explode(F.filter("fs", lambda f: f > F.col("file_a"))).alias("file_b"))
-    got = pairs.groupBy("file_a", "file_b").agg(N.alias("c"), F.avg(1 - 0.9 * F.col("k") / F.col("n")).alias("recency")).filter("c >= 2")
+    got = pairs.groupBy("file_a", "file_b").agg(_n().alias("c"), F.avg(1 - 0.9 * F.col("k") / F.col("n")).alias("recency")).filter("c >= 2")
     return got.select("file_a", "file_b", F.col("c").alias("n"), F.round(F.col("c") * F.col("recency"), 6).alias("score"))
 
 
@@ -117,7 +118,7 @@ def proximity_pairs(spark, d):
     """Suppliers that share orders."""
     x = data.table(spark, d, "lineitem").select(F.col("l_orderkey").alias("k"), F.col("l_suppkey").alias("f")).distinct()
     y = x.select("k", F.col("f").alias("g"))
-    p = x.join(y, "k").filter("f < g").groupBy(F.col("f").alias("id_a"), F.col("g").alias("id_b")).agg(N.alias("n")).filter("n >= 2")
+    p = x.join(y, "k").filter("f < g").groupBy(F.col("f").alias("id_a"), F.col("g").alias("id_b")).agg(_n().alias("n")).filter("n >= 2")
     most = F.broadcast(p.agg(F.max("n").alias("most")))
     return p.crossJoin(most).select("id_a", "id_b", "n", F.round(F.col("n") / F.col("most"), 6).alias("weight"))
 

@@ -9,7 +9,8 @@ from fathom.plans import data
 from fathom.plans.catalogue import query
 from fathom.plans.table_queries import _DECAY, _REF
 
-N = F.count(F.lit(1))
+def _n():
+    return F.count(F.lit(1))
 
 
 def _seeded(*seeds: str):
@@ -58,7 +59,7 @@ def fact_parsing(spark, d):
 
 @query("save_gate")
 def save_gate(spark, d):
-    return knowledge.gate(data.memories(spark, d).select("id", "content")).groupBy("verdict").agg(N.alias("n"))
+    return knowledge.gate(data.memories(spark, d).select("id", "content")).groupBy("verdict").agg(_n().alias("n"))
 
 
 @query("save_decisions", f"WITH {data.PAIRS}, b AS (SELECT *, row_number() OVER (PARTITION BY id_b ORDER BY similarity DESC, id_a) AS n FROM pr) SELECT id_b AS id, id_a AS other_id, CASE WHEN similarity >= 0.4 THEN 'duplicate' ELSE 'saved' END AS result, similarity >= 0.33 AND similarity < 0.4 AS corrects, CASE WHEN similarity >= 0.35 AND similarity < 0.4 THEN 2 ELSE 1 END AS version, CASE WHEN similarity >= 0.35 AND similarity < 0.4 THEN id_a END AS root_id FROM b WHERE n = 1")
@@ -88,7 +89,7 @@ def link_enrichment(spark, d):
     links = data.edges(spark, d).withColumn("llm_enriched", F.lit(False))
     k = F.col("source_id") % 3
     judged = links.select("source_id", "target_id", F.when(k == 0, "extends").otherwise("nonsense").alias("relation"), F.when(k == 2, 0.0).otherwise(0.9).alias("confidence"))
-    return knowledge.enrich_links(links, judged).groupBy("relation").agg(N.alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
+    return knowledge.enrich_links(links, judged).groupBy("relation").agg(_n().alias("n"), F.round(F.sum("weight"), 4).alias("weight"))
 
 
 @query("retention_run", f"WITH {data.MEM}, s AS (SELECT *, coalesce(quality_score, 0.5) * {_DECAY.format(_REF)} * (1.0 + CASE WHEN access_count <= 0 THEN 0.0 ELSE least(access_count * 0.05::DOUBLE, 0.3) END) AS sc FROM mem) SELECT id, CASE WHEN is_invariant OR correction_count >= 2 THEN 'keep' WHEN sc >= 0.3 THEN 'keep' WHEN sc >= 0.15 THEN 'warn' ELSE 'delete' END AS tier FROM s WHERE is_invariant OR correction_count >= 2 OR sc >= 0.15")

@@ -11,7 +11,8 @@ from fathom.operators import dedup, graph, metrics, retrieval, tables
 from fathom.plans import data
 from fathom.plans.catalogue import query
 
-N = F.count(F.lit(1))
+def _n():
+    return F.count(F.lit(1))
 
 
 def _mem(spark, d):
@@ -24,14 +25,14 @@ def _m(sql: str) -> str:
 
 @query("doc_stats", "SELECT lang, count(*) AS n_docs, count(DISTINCT source) AS n_sources, max(length(text)) AS longest, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY lang")
 def doc_stats(spark, d):
-    return data.table(spark, d, "documents").groupBy("lang").agg(N.alias("n_docs"), F.countDistinct("source").alias("n_sources"), F.max(F.length("text")).cast("long").alias("longest"), F.sum(F.length("text")).alias("chars"))
+    return data.table(spark, d, "documents").groupBy("lang").agg(_n().alias("n_docs"), F.countDistinct("source").alias("n_sources"), F.max(F.length("text")).cast("long").alias("longest"), F.sum(F.length("text")).alias("chars"))
 
 
 @query("memory_stats", _m("SELECT coalesce(type, 'observation') AS type, count(*) AS total, CAST(sum(CASE WHEN NOT is_invalid THEN 1 ELSE 0 END) AS BIGINT) AS active, CAST(sum(CASE WHEN is_invalid THEN 1 ELSE 0 END) AS BIGINT) AS invalidated, CAST(sum(CASE WHEN NOT is_invalid AND age_hours > 720 THEN 1 ELSE 0 END) AS BIGINT) AS stale, max(age_hours) AS oldest, min(age_hours) AS newest FROM mem GROUP BY 1"))
 def memory_stats(spark, d):
     c = lambda t: F.sum(F.when(t, 1).otherwise(0))
     return _mem(spark, d).groupBy(F.coalesce("type", F.lit("observation")).alias("type")).agg(
-        N.alias("total"), c(~F.col("is_invalid")).alias("active"), c(F.col("is_invalid")).alias("invalidated"), c(~F.col("is_invalid") & (F.col("age_hours") > 720)).alias("stale"), F.max("age_hours").alias("oldest"), F.min("age_hours").alias("newest")
+        _n().alias("total"), c(~F.col("is_invalid")).alias("active"), c(F.col("is_invalid")).alias("invalidated"), c(~F.col("is_invalid") & (F.col("age_hours") > 720)).alias("stale"), F.max("age_hours").alias("oldest"), F.min("age_hours").alias("newest")
     )
 
 
@@ -44,7 +45,7 @@ def memory_health(spark, d):
 @query("quality_buckets", _m("SELECT CASE WHEN quality_score >= 0.7 THEN 'high' WHEN quality_score >= 0.4 THEN 'medium' WHEN quality_score IS NOT NULL THEN 'low' ELSE 'unscored' END AS bucket, count(*) AS n, round(avg(quality_score), 6) AS mean FROM mem GROUP BY 1"))
 def quality_buckets(spark, d):
     q = F.col("quality_score")
-    return _mem(spark, d).groupBy(F.when(q >= 0.7, "high").when(q >= 0.4, "medium").when(q.isNotNull(), "low").otherwise("unscored").alias("bucket")).agg(N.alias("n"), F.round(F.avg(q), 6).alias("mean"))
+    return _mem(spark, d).groupBy(F.when(q >= 0.7, "high").when(q >= 0.4, "medium").when(q.isNotNull(), "low").otherwise("unscored").alias("bucket")).agg(_n().alias("n"), F.round(F.avg(q), 6).alias("mean"))
 
 
 @query("auto_memory_stats", _m("SELECT source_type, CAST(sum(CASE WHEN coalesce(confidence, 0) < 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS low, CAST(sum(CASE WHEN confidence >= 0.7 THEN 1 ELSE 0 END) AS BIGINT) AS high, round(avg(confidence), 6) AS mean FROM mem GROUP BY source_type"))
@@ -55,7 +56,7 @@ def auto_memory_stats(spark, d):
 
 @query("token_stats", "SELECT event_type, count(*) AS n, round(sum(value), 4) AS total, count(DISTINCT user_id) AS n_users FROM events GROUP BY event_type")
 def token_stats(spark, d):
-    return data.table(spark, d, "events").groupBy("event_type").agg(N.alias("n"), F.round(F.sum("value"), 4).alias("total"), F.countDistinct("user_id").alias("n_users"))
+    return data.table(spark, d, "events").groupBy("event_type").agg(_n().alias("n"), F.round(F.sum("value"), 4).alias("total"), F.countDistinct("user_id").alias("n_users"))
 
 
 @query("token_frequency", "WITH x AS (SELECT unnest(string_split(lower(text), ' ')) AS token FROM conversations UNION ALL SELECT unnest(string_split(lower(text), ' ')) FROM conversations WHERE role = 'user') SELECT token, count(*) AS frequency FROM x GROUP BY token")
@@ -63,7 +64,7 @@ def token_frequency(spark, d):
     """Counts of all turns, merged with those of the users' turns."""
     talks = data.table(spark, d, "conversations")
     tokens = lambda df: df.select(F.explode(F.split(F.lower("text"), " ")).alias("token"))
-    return tables.merge_counts(tokens(talks).groupBy("token").agg(N.alias("frequency")), tokens(talks.filter("role = 'user'")))
+    return tables.merge_counts(tokens(talks).groupBy("token").agg(_n().alias("frequency")), tokens(talks.filter("role = 'user'")))
 
 
 @query("latency_percentiles", "SELECT event_type, count(value) AS n, min(value) AS least, max(value) AS greatest, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
@@ -74,12 +75,12 @@ def latency_percentiles(spark, d):
 @query("latency_nearest_rank", "WITH x AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS rn, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00') SELECT event_type, max(n) AS n, round(avg(value), 2) AS mean, max(CASE WHEN rn = ceil(0.95 * n) THEN value END) AS p95 FROM x GROUP BY event_type")
 def latency_nearest_rank(spark, d):
     e = data.table(spark, d, "events").filter("ts > timestamp_ntz'2024-01-20 00:00:00'")
-    return e.groupBy("event_type").agg(N.alias("n"), F.round(F.avg("value"), 2).alias("mean"), metrics.nearest_rank("value", 0.95).alias("p95"))
+    return e.groupBy("event_type").agg(_n().alias("n"), F.round(F.avg("value"), 2).alias("mean"), metrics.nearest_rank("value", 0.95).alias("p95"))
 
 
 @query("latency_ring", "WITH x AS (SELECT *, row_number() OVER (ORDER BY ts DESC, event_id DESC) AS rn FROM events) SELECT event_type, count(*) AS n FROM x WHERE rn <= 1000 GROUP BY event_type")
 def latency_ring(spark, d):
-    return data.table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(1000).groupBy("event_type").agg(N.alias("n"))
+    return data.table(spark, d, "events").orderBy(F.desc("ts"), F.desc("event_id")).limit(1000).groupBy("event_type").agg(_n().alias("n"))
 
 
 _REC = f"WITH {data.RECALL}, s AS (SELECT memory_id, count(*) AS total, CAST(sum(CASE WHEN was_used THEN 1 ELSE 0 END) AS BIGINT) AS used, avg(CASE WHEN was_used THEN 1.0::DOUBLE ELSE 0.0 END) AS use_rate, avg(CASE WHEN was_used THEN rank_position END) AS rank_used, avg(CASE WHEN NOT was_used THEN rank_position END) AS rank_ignored FROM rec GROUP BY memory_id)"
@@ -141,7 +142,7 @@ def retention_decayed(spark, d):
 def retention_stats(spark, d):
     s = S.effective_score(F.col("quality_score"), F.col("age_hours") / 24, F.col("access_count"))
     x = _mem(spark, d).select(s.alias("s"))
-    return x.groupBy(S.tier(F.col("s")).alias("tier"), F.floor(F.least(F.greatest("s", F.lit(0.0)), F.lit(0.999)) * 4).alias("bin")).agg(N.alias("n"), F.round(F.avg("s"), 6).alias("mean"))
+    return x.groupBy(S.tier(F.col("s")).alias("tier"), F.floor(F.least(F.greatest("s", F.lit(0.0)), F.lit(0.999)) * 4).alias("bin")).agg(_n().alias("n"), F.round(F.avg("s"), 6).alias("mean"))
 
 
 _PRIO = "0.3 * CASE WHEN is_invariant THEN 1.0 ELSE 0.0 END + 0.25 * coalesce(quality_score, 0.5) * greatest(exp(-ln(2) / 168.0 * greatest(" + _REF + ", 0)), 0.1) + 0.2 * (least(correction_count, 5) / 5.0::DOUBLE) + 0.15 * CASE coalesce(type, 'observation') WHEN 'decision' THEN 1.0 WHEN 'error' THEN 0.9 WHEN 'dead_end' THEN 0.85 WHEN 'pattern' THEN 0.8 WHEN 'learning' THEN 0.7 ELSE 0.5 END + 0.1 * (least(access_count, 20) / 20.0::DOUBLE)"
@@ -237,7 +238,7 @@ def scd2_supersede(spark, d):
     o = data.table(spark, d, "orders").select("o_custkey", "o_orderkey", "o_orderdate")
     old = o.filter("o_orderdate < timestamp_ntz'1997-01-01'").withColumn("superseded_at", F.lit(None).cast("timestamp"))
     v = tables.supersede(old, o.filter("o_orderdate >= timestamp_ntz'1997-01-01'"), "o_custkey", F.lit(data.AS_OF).cast("timestamp"))
-    return v.groupBy("o_custkey").agg(N.alias("n"), F.sum(F.when(F.col("superseded_at").isNull(), 1).otherwise(0)).alias("n_current"))
+    return v.groupBy("o_custkey").agg(_n().alias("n"), F.sum(F.when(F.col("superseded_at").isNull(), 1).otherwise(0)).alias("n_current"))
 
 
 @query("purge_superseded", "WITH v AS (" + _ORDERS + ") SELECT o_orderkey FROM v WHERE until IS NULL OR until >= TIMESTAMP '1997-01-01'")
@@ -276,16 +277,16 @@ def expired_memories(spark, d):
 def learning_delta(spark, d):
     kind = F.coalesce("type", F.lit("observation")).alias("type")
     m = _mem(spark, d)
-    before = m.filter("age_hours > 500").groupBy(kind).agg(N.alias("before"))
-    x = m.groupBy(kind).agg(N.alias("after")).join(before, "type", "full_outer")
+    before = m.filter("age_hours > 500").groupBy(kind).agg(_n().alias("before"))
+    x = m.groupBy(kind).agg(_n().alias("after")).join(before, "type", "full_outer")
     return x.select("type", (F.coalesce("after", F.lit(0)) - F.coalesce("before", F.lit(0))).alias("added")).filter("added > 0")
 
 
 @query("dashboard", f"WITH {data.MEM}, {data.RECALL} SELECT (SELECT count(*) FROM mem) AS n_memories, (SELECT count(*) FROM rec) AS n_recalls, (SELECT count(DISTINCT memory_id) FROM rec) AS n_recalled, (SELECT count(*) FROM mem m WHERE NOT EXISTS (SELECT 1 FROM rec r WHERE r.memory_id = m.id)) AS never_recalled")
 def dashboard(spark, d):
     m, r = _mem(spark, d), data.recall_events(spark, d)
-    unused = m.join(r.select(F.col("memory_id").alias("id")).distinct(), "id", "left_anti").agg(N.alias("never_recalled"))
-    return m.agg(N.alias("n_memories")).crossJoin(r.agg(N.alias("n_recalls"), F.countDistinct("memory_id").alias("n_recalled"))).crossJoin(unused)
+    unused = m.join(r.select(F.col("memory_id").alias("id")).distinct(), "id", "left_anti").agg(_n().alias("never_recalled"))
+    return m.agg(_n().alias("n_memories")).crossJoin(r.agg(_n().alias("n_recalls"), F.countDistinct("memory_id").alias("n_recalled"))).crossJoin(unused)
 
 
 @query("dedup_exact", "SELECT md5(coalesce(text, '')) AS content_hash, min(doc_id) AS first_id, count(*) AS copies FROM documents GROUP BY 1 HAVING count(*) > 1")
@@ -350,7 +351,7 @@ def model_cost(spark, d):
 def rollup_levels(spark, d):
     """Counts of files by folder, module and repository."""
     p = data.table(spark, d, "part").select(F.substring_index("p_type", " ", 1).alias("module"), F.col("p_brand").alias("dir"), "p_size")
-    return p.rollup("module", "dir").agg(N.alias("n"), F.sum("p_size").alias("total"), F.grouping_id("module", "dir").alias("level"))
+    return p.rollup("module", "dir").agg(_n().alias("n"), F.sum("p_size").alias("total"), F.grouping_id("module", "dir").alias("level"))
 
 
 @query("baseline_compare", "WITH n AS (SELECT event_type AS metric, avg(value) / 50 AS value FROM events WHERE event_id % 2 = 0 GROUP BY 1), b AS (SELECT event_type AS metric, avg(value) / 50 AS value FROM events WHERE event_id % 2 = 1 GROUP BY 1) SELECT metric, round(n.value, 6) AS now, round(b.value, 6) AS baseline, CASE WHEN n.value - b.value < -0.01 THEN 'regression' WHEN n.value - b.value > 0.01 THEN 'improvement' ELSE 'unchanged' END AS verdict FROM n JOIN b USING (metric)")
@@ -365,7 +366,7 @@ def project_union(spark, d):
     """A store without a project column beside one with it."""
     m = _mem(spark, d)
     both = m.filter("id % 2 = 0").select("type").unionByName(m.select("type", "project"), allowMissingColumns=True)
-    return both.groupBy(F.coalesce("project", F.lit("local")).alias("project"), "type").agg(N.alias("n"))
+    return both.groupBy(F.coalesce("project", F.lit("local")).alias("project"), "type").agg(_n().alias("n"))
 
 
 @query("token_savings", "WITH s AS (SELECT conv_id, ceil(sum(length(text)) / 3.5) AS full_tokens, ceil(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) / 3.5) AS returned FROM conversations GROUP BY conv_id) SELECT conv_id, CAST(returned AS BIGINT) AS returned_tokens, CAST(full_tokens AS BIGINT) AS full_tokens, CAST(greatest(0, full_tokens - returned) AS BIGINT) AS savings FROM s")
@@ -387,4 +388,4 @@ def link_insert(spark, d):
     e = data.edges(spark, d)
     empty = e.limit(0)
     once = graph.add_links(empty, e.unionAll(e.withColumn("relation", F.lit("nonsense"))))
-    return graph.add_links(once, e).agg(N.alias("n"))
+    return graph.add_links(once, e).agg(_n().alias("n"))
