@@ -62,7 +62,7 @@ def save_gate(spark, d):
     return knowledge.gate(data.memories(spark, d).select("id", "content")).groupBy("verdict").agg(_n().alias("n"))
 
 
-@query("save_decisions", f"WITH {data.PAIRS}, b AS (SELECT *, row_number() OVER (PARTITION BY id_b ORDER BY similarity DESC, id_a) AS n FROM pr) SELECT id_b AS id, id_a AS other_id, CASE WHEN similarity >= 0.4 THEN 'duplicate' ELSE 'saved' END AS result, similarity >= 0.33 AND similarity < 0.4 AS corrects, CASE WHEN similarity >= 0.35 AND similarity < 0.4 THEN 2 ELSE 1 END AS version, CASE WHEN similarity >= 0.35 AND similarity < 0.4 THEN id_a END AS root_id FROM b WHERE n = 1")
+@query("save_decisions", f"WITH {data.PAIRS}, b AS (SELECT *, row_number() OVER (PARTITION BY id_b ORDER BY similarity DESC, id_a) AS n FROM pr) SELECT id_b AS id, id_a AS other_id, CASE WHEN similarity >= 0.4 THEN 'duplicate' ELSE 'saved' END AS result, similarity >= 0.33 AND similarity < 0.4 AS corrects, CASE WHEN similarity >= 0.35 AND similarity < 0.4 THEN 2 ELSE 1 END AS version, CASE WHEN similarity >= 0.35 AND similarity < 0.4 THEN id_a END AS root_id FROM b WHERE n = 1 AND id_a IN (SELECT doc_id FROM documents) AND id_b IN (SELECT doc_id FROM documents)")
 def save_decisions(spark, d):
     p = data.pairs(spark, d).select(F.col("id_b").alias("id"), F.struct((-F.col("similarity")).alias("s"), F.col("id_a").alias("o")).alias("x")).groupBy("id").agg(F.min("x").alias("x"))
     m = data.memories(spark, d).select("id", "content")
@@ -164,7 +164,7 @@ def rerun_rules(spark, d):
     return knowledge.rerun_rules(data.table(spark, d, "pages").select(F.col("url").alias("path")), rules)
 
 
-@query("survivor_links", f"WITH {data.PAIRS}, {data.MEM}, g AS (SELECT md5(content) AS g, id, first_value(id) OVER (PARTITION BY md5(content) ORDER BY access_count DESC, id) AS s FROM mem), t AS (SELECT a.s AS source_id, b.s AS target_id, max(similarity) AS w FROM pr JOIN g a ON a.id = id_a JOIN g b ON b.id = id_b WHERE a.s <> b.s GROUP BY ALL) SELECT source_id, target_id, round(w, 6) AS weight FROM t")
+@query("survivor_links", f"WITH {data.PAIRS}, {data.MEM}, g AS (SELECT md5(content) AS g, id, first_value(id) OVER (PARTITION BY md5(content) ORDER BY access_count DESC, id) AS s FROM mem), t AS (SELECT coalesce(a.s, id_a) AS source_id, coalesce(b.s, id_b) AS target_id, max(similarity) AS w FROM pr LEFT JOIN g a ON a.id = id_a LEFT JOIN g b ON b.id = id_b WHERE coalesce(a.s, id_a) <> coalesce(b.s, id_b) GROUP BY ALL) SELECT source_id, target_id, round(w, 6) AS weight FROM t")
 def survivor_links(spark, d):
     """Links of exact copies moved to the copy that survives."""
     g = data.memories(spark, d).select(F.md5("content").alias("group"), "id", "access_count")

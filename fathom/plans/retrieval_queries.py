@@ -167,10 +167,11 @@ def hybrid_search(spark, d):
 
 
 _HALF = "exp(-ln(2) / 168.0 * {0})"
-RESULTS = f"""{data.MEM}, res AS (
-  SELECT a.vec_id AS query_id, m.*, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity
-  FROM embeddings a, embeddings b JOIN mem m ON m.id = b.vec_id WHERE a.vec_id % 50 = 0
-), top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, id) AS rank FROM res)"""
+RESULTS = f"""{data.MEM}, near AS (
+  SELECT a.vec_id AS query_id, b.vec_id AS vid, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity
+  FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 12) DESC, vid) AS rank FROM near),
+top AS (SELECT r.query_id, r.similarity, r.rank, m.* FROM ranked r JOIN mem m ON m.id = r.vid)"""
 
 
 def _results(spark, d, k: int = 8) -> DataFrame:
