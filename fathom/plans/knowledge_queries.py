@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathom.operators import dedup, graph, knowledge
+from fathom.operators import dedup, graph, indexing, knowledge
 from fathom.plans import data
 from fathom.plans.catalogue import query
 from fathom.plans.table_queries import _DECAY, _REF
@@ -170,3 +170,40 @@ def survivor_links(spark, d):
     g = data.memories(spark, d).select(F.md5("content").alias("group"), "id", "access_count")
     removed = g.join(dedup.survivors(g), "group").filter("id <> survivor").select(F.col("id").alias("removed"), F.col("survivor").alias("superseded_by"))
     return dedup.moved_links(data.edges(spark, d), removed).filter("relation = 'similar_to'").select("source_id", "target_id", F.round("weight", 6).alias("weight"))
+
+
+@query(
+    "index_run",
+    "WITH o AS (SELECT doc_id, doc_id % 4 = 0 AS changed, doc_id % 9 = 0 AS gone, doc_id % 10 = 3 AS new FROM documents WHERE doc_id < 200) SELECT CAST(sum(CASE WHEN NOT gone AND (changed OR new) THEN 1 ELSE 0 END) AS BIGINT) AS indexed, CAST(sum(CASE WHEN NOT gone AND NOT changed AND NOT new THEN 1 ELSE 0 END) AS BIGINT) AS unchanged, CAST(sum(CASE WHEN gone AND NOT new THEN 1 ELSE 0 END) AS BIGINT) AS deleted FROM o",
+)
+def index_run(spark, d):
+    """Of 200 files every fourth changed, every ninth is gone, every tenth is new."""
+    at = F.lit(data.AS_OF).cast("timestamp")
+    i = F.col("doc_id")
+    docs = data.table(spark, d, "documents").filter("doc_id < 200").select("doc_id", F.concat(F.lit("f"), i.cast("string")).alias("path"), F.col("text").alias("content"))
+    old = docs.filter(i % 10 != 3)
+    now = docs.filter(i % 9 != 0).withColumn("content", F.when(i % 4 == 0, F.concat("content", F.lit(" x"))).otherwise(F.col("content")))
+    hashed = lambda df: df.withColumn("content_hash", F.md5("content"))
+    empty = spark.createDataFrame([], "path string, chunk_index int, content string, start_line int, end_line int, superseded_at timestamp")
+    none = spark.createDataFrame([], "path string, content_hash string")
+    first = indexing.index_files(hashed(old).drop("doc_id"), none, empty, at)
+    return indexing.index_files(hashed(now).drop("doc_id"), first.hashes, first.versions, at).counts.select("indexed", "unchanged", "deleted")
+
+
+@query("repo_profile", "WITH x AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'py' WHEN doc_id % 3 = 1 THEN 'ts' ELSE '' END AS extension, length(text) AS n FROM documents) SELECT extension, count(*) AS files, CAST(sum(n) AS BIGINT) AS bytes, round(count(*) / (SELECT count(*) FROM x), 6) AS share FROM x GROUP BY extension")
+def repo_profile(spark, d):
+    ends = F.element_at(F.array(F.lit(".py"), F.lit(".TS"), F.lit(".bin")), (F.col("doc_id") % 3 + 1).cast("int"))
+    f = data.table(spark, d, "documents").select(F.concat(F.lit("a/"), F.col("doc_id").cast("string"), ends).alias("path"), F.length("text").cast("long").alias("length"))
+    return indexing.profile(f).withColumn("share", F.round("share", 6))
+
+
+@query("temporal_status", f"WITH {data.MEM} SELECT id, CASE WHEN until_hours > 0 THEN 'expired' WHEN from_hours < 0 THEN 'future' WHEN coalesce(quality_score, 0.5) < 0.3 THEN 'fading' ELSE 'active' END AS status FROM mem")
+def temporal_status(spark, d):
+    at = F.lit(data.AS_OF).cast("timestamp")
+    back = lambda c: F.timestamp_seconds(F.unix_timestamp(at) - F.col(c) * 3600)
+    return data.memories(spark, d).select("id", indexing.temporal_status(F.coalesce("quality_score", F.lit(0.5)), back("from_hours"), back("until_hours"), at).alias("status"))
+
+
+@query("idle_sessions", "SELECT user_id FROM events GROUP BY user_id HAVING max(ts) < TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 30 MINUTES")
+def idle_sessions(spark, d):
+    return indexing.idle(data.table(spark, d, "events"), "user_id", "ts", F.lit("2024-01-30 12:00:00").cast("timestamp_ntz")).select("user_id")
