@@ -30,7 +30,7 @@ def components(edges: DataFrame, path: str, most: int = 50) -> DataFrame:
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = _toward_least(both).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         small = _toward_least(large)
-        now = materialise(small.select("u", F.col("m").alias("v")).unionAll(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), f"{path}/cc-{step}")
+        now = materialise(small.select("u", F.col("m").alias("v")).unionAll(small.filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct(), f"{path}/cc-{step}", mark[0])
         last, mark = mark, _mark(now)
         if mark == last:
             break

@@ -160,11 +160,12 @@ def _units(candidates: DataFrame, groups: DataFrame, how: Join, path: str) -> Da
     """A row for each document and task that it takes part in: unit, side, and what product() needs."""
     base = math.log(100 / how.percent) * 1.001 if how.percent < 100 else 1e-9
     rows = candidates.join(groups, "node").withColumn("band", F.floor(F.log("n") / F.lit(base)).cast("int"))
-    rows = materialise(rows, f"{path}/grouped")
+    n = candidates.count()
+    rows = materialise(rows, f"{path}/grouped", 20 * n)  # rows with whole sets count for more
     counts = rows.groupBy("group", "band").agg(F.count(F.lit(1)).alias("c"))
     whole = counts.groupBy("group").agg(F.sum("c").alias("all"))
     dealt = counts.join(whole, "group").withColumn("k", F.when(F.col("all") <= how.block, 1).otherwise(F.ceil(F.col("c") / how.block)).cast("int"))
-    dealt = materialise(dealt, f"{path}/dealt")
+    dealt = materialise(dealt, f"{path}/dealt", n)
 
     def near(step: int, name: str) -> DataFrame:
         return dealt.select("group", (F.col("band") - step).alias("band"), F.col("k").alias(name))
@@ -205,7 +206,8 @@ def join(documents: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     members = materialise(_members(rows, how.width), f"{path}/members")
     classes = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("docs"), F.max("n").alias("n"))
-    classes = materialise(classes, f"{path}/classes")
+    n_docs = members.count()
+    classes = materialise(classes, f"{path}/classes", n_docs)
     items = classes.agg(F.sum("n")).first()[0] or 0
     chunks = _representatives(rows.select("text"), how.width, exchange.chunk_count(7 * items, how.chunk_bytes))
     candidates = materialise(_candidates(chunks, how, items), f"{path}/candidates")
@@ -218,7 +220,7 @@ def join(documents: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_
     least = found.join(classes.select("node", "least"), "node").groupBy("component").agg(F.min("least").alias("component_id"))
     ids = found.join(least, "component").select("node", "component_id").join(forest.groupBy("node").agg(F.sum("links").alias("links")), "node", "left")
     known = classes.join(ids, "node", "left").select("node", F.coalesce("component_id", "least").alias("component_id"), (F.coalesce("links", F.lit(0)) + F.col("docs") - 1).alias("n_links"))
-    known = materialise(known, f"{path}/known")  # so that both sides of the next join are plain exchanges, whose hot keys Spark can split
+    known = materialise(known, f"{path}/known", n_docs)  # so that both sides of the next join are plain exchanges, whose hot keys Spark can split
     with_set = members.filter("node is not null").join(known, "node").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", "node")
     return with_set.unionByName(members.filter("node is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"), "node"))
 

@@ -58,6 +58,7 @@ def tilts(histogram: DataFrame, goals: DataFrame, cap: float, tolerance: float =
         "source", "target", F.when(F.col("source_docs") > 0, F.col("source_size") / F.col("source_docs")).alias("mean"), (F.col("target") < F.col("source_size") * F.lit(float(cap)) * (1 - 1e-12)).alias("inner"),
         F.lit(0.0).alias("lam"), F.lit(-1e6).alias("low"), F.lit(1e6).alias("high"), (F.col("target") <= 0).alias("done"),
     )
+    n = goals.count()
     for step in range(most):
         x = F.col("size") / F.col("mean")
         tilt = F.exp(F.least(F.col("lam") * x, F.lit(700.0)))
@@ -72,7 +73,7 @@ def tilts(histogram: DataFrame, goals: DataFrame, cap: float, tolerance: float =
         newton = F.col("lam") - (F.col("got") - F.col("target")) / F.when(F.col("slope") > 0, F.col("slope"))
         middle = F.when((F.col("low") > -1e6) & (F.col("high") < 1e6), (F.col("low") + F.col("high")) / 2).when(over, F.least(F.col("lam") * 2, F.col("lam") - 1)).otherwise(F.greatest(F.col("lam") * 2, F.col("lam") + 1))
         moved = moved.withColumn("lam", F.when(F.col("done"), F.col("lam")).when((newton > F.col("low")) & (newton < F.col("high")), newton).otherwise(middle)).drop("got", "slope")
-        state = materialise(moved, f"{path}/newton-{step}")
+        state = materialise(moved, f"{path}/newton-{step}", n)
         if not state.filter("not done").take(1):
             break
     return state.select("source", "mean", F.when(F.col("inner"), F.col("lam")).alias("lam"), "target")
@@ -88,9 +89,9 @@ def mix(documents: DataFrame, share: float = 1.5, cap: float = 2.0, bucket: int
     text = F.col(text_col)
     sized = documents.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(text).alias("size"), _row_key(id_col, text_col, source_col).alias("h"))
     sized = materialise(sized, f"{path}/sized")
-    histogram = materialise(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")), f"{path}/histogram")
+    histogram = materialise(sized.groupBy("source", "size").agg(F.count(F.lit(1)).alias("docs")), f"{path}/histogram", sized.count())
     sources = histogram.groupBy("source").agg(F.sum(F.col("docs") * F.col("size")).alias("source_size"), F.sum("docs").alias("source_docs"))
-    goals = materialise(targets(sources, share, cap), f"{path}/goals")
+    goals = materialise(targets(sources, share, cap), f"{path}/goals", histogram.count())
     tilted = tilts(histogram, goals, cap)
     known = goals.join(tilted.select(F.col("source").alias("s"), "lam", "mean"), F.col("source").eqNullSafe(F.col("s"))).select(F.col("source").alias("s"), "source_size", "target", "lam", "mean", F.ceil(F.col("source_docs") / bucket).alias("buckets"))
     rate = F.when(F.col("size") <= 0, 0.0).when(F.col("target") <= 0, 0.0).when(F.col("lam").isNull(), float(cap)).otherwise(F.least(F.lit(float(cap)), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(700.0)))))

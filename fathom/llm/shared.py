@@ -20,16 +20,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{root.rstrip('/')}/fathom-{uuid.uuid4().hex}"
 
 
-def compact(df: DataFrame) -> DataFrame:
-    """Fewer, larger tasks for a write, where many small partitions would each make a file. No rows move, and a task takes its partitions one after another, so
-    its memory is that of the largest."""
+#: Rows that a file of a small table may have.
+FILE_ROWS = 100_000
+
+
+def compact(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Fewer, larger tasks for a write, where many small partitions would each make a file. rows: about how many there are, if that is known and they are cheap to make. No
+    rows move, and a task takes its partitions one after another, so its memory is that of the largest."""
     spark = df.sparkSession
-    return df.coalesce(max(32, 4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8))
+    most = max(32, 4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)
+    return df.coalesce(most if rows is None else min(most, 1 + rows // FILE_ROWS))
 
 
-def materialise(df: DataFrame, path: str) -> DataFrame:
+def materialise(df: DataFrame, path: str, rows: int | None = None) -> DataFrame:
     """Cuts lineage: writes df as a table in the shared folder and reads it back with the same schema."""
-    compact(df).write.mode("overwrite").parquet(path)
+    compact(df, rows).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
