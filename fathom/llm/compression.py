@@ -19,6 +19,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm.shared import small_batches
+
 SYMBOLS = b"#*$%&|<>"
 
 
@@ -99,6 +101,7 @@ _TYPES = pa.schema([(k, {"long": pa.int64(), "boolean": pa.bool_(), "double": pa
 
 def quality(documents: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, the counts, and whether the bands keep it."""
+    small_batches(documents.sparkSession)
     rows = documents.select(F.col(id_col), F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,6 +115,7 @@ def quality(documents: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id"
 
 def filter_documents(documents: DataFrame, bands: Bands = Bands(), text_col: str = "text") -> DataFrame:
     """The documents that the rules keep, all columns as they were."""
+    small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=bands.level)

@@ -26,6 +26,8 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fathom.llm.shared import small_batches
+
 #: Bytes to the bytes of words: ASCII letters lower-cased, digits and everything from 0x80 up as they are, the rest to spaces.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -106,6 +108,7 @@ def _rarity(texts: DataFrame, vocabulary: Broadcast) -> dict[bytes, int]:
 
 def build_index(documents: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> list[Broadcast]:
     """One broadcast index a block."""
+    small_batches(documents.sparkSession)
     sc = documents.sparkSession.sparkContext
     texts = documents.select(F.col(text_col).alias("__text"))
     items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))

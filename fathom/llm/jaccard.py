@@ -39,7 +39,7 @@ class Join:
     #: Linked: 100 * intersection >= percent * union.
     percent: int = 85
     block: int = 512
-    chunk_bytes: int = 8 << 20
+    chunk_bytes: int = 4 << 20
     columns: int = 4096
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.shared import id_text
+from fathom.llm.shared import id_text, small_batches
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -149,6 +149,7 @@ def learn(documents: DataFrame, how: Backoff = Backoff(), id_col: str = "doc_id"
 
 def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, lang_pred, score."""
+    small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
     rows = documents.select(F.col(id_col), F.col(text_col).alias("__text"))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -12,8 +13,22 @@ from pyspark.sql import functions as F
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
 
 
+#: Bytes of rows that go to a Python worker at once: texts differ much in size, so a batch is bounded by these and not only by its rows.
+BATCH_BYTES = 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Holds the session's Arrow batches to BATCH_BYTES; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = re.fullmatch(r"(\d+)\s*([kmg]?)b?", spark.conf.get(key).strip().lower())
+    now = int(found[1]) << {"": 0, "k": 10, "m": 20, "g": 30}[found[2]] if found else BATCH_BYTES + 1
+    if now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder path under spark.checkpoint.dir; only where that is unset (tests), under a local temporary folder."""
+    small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = f"file://{tempfile.gettempdir()}/fathom-shared"
