@@ -1,8 +1,10 @@
 """Quality rules by compression bands (operator 9).
 
 A whole text and its fixed chunks are compressed with zstandard; the ratio (bytes in / bytes out) must lie in a band that depends on the
-length, since short texts compress little and long ones more. Above the band a text repeats itself, below it is noise. One map over the
-documents: no shuffle, memory for one text and its compressed form.
+length, since short texts compress little and long ones more. Above the band a text repeats itself, below it is noise. The limits lie
+between the ratios of clean text (texts of sf0.1 and check_l that pass the base rule) and those of random words, with room on both sides; below
+1 KB the two overlap by a little, and the limits keep clean text. Texts of a chunk or more are judged by chunks too; the last chunk is the
+text's last chunk_bytes, so that the tail counts. One map over the documents: no shuffle, memory for one text and its compressed form.
 
 Null or empty texts, and texts with no word, have all counts 0 and fail the base rule. Ties and repeated rows are judged one by one.
 Only the id and text columns are read, except by filter_documents, which passes whole rows on.
@@ -29,10 +31,13 @@ class Bands:
     """Limits by length in bytes: (length below which the row holds, least ratio, most ratio). chunk_bad: the share of a text's chunks
     outside the band for chunk_bytes at which the text is rejected."""
 
-    whole: tuple[tuple[float, float, float], ...] = ((200, 0.0, 4.0), (1_000, 1.05, 4.0), (10_000, 1.2, 5.0), (float("inf"), 1.3, 6.0))
+    whole: tuple[tuple[float, float, float], ...] = (
+        (100, 0.0, 2.0), (200, 0.95, 2.0), (300, 1.25, 2.0), (400, 1.25, 2.2), (600, 1.3, 2.3), (800, 1.39, 2.6), (1_000, 1.43, 2.6), (1_500, 1.57, 2.8),
+        (2_000, 1.68, 2.9), (4_096, 1.74, 3.1), (8_192, 1.85, 3.2), (float("inf"), 1.95, 3.4),
+    )
     chunk_bytes: int = 4096
-    chunk: tuple[float, float] = (1.2, 6.0)
-    chunk_bad: float = 0.5
+    chunk: tuple[float, float] = (1.8, 3.2)
+    chunk_bad: float = 0.1
     level: int = 3
     min_words: int = 50
     repeat_share: tuple[int, int] = (50, 100)
@@ -78,7 +83,7 @@ def judge(text: str | None, bands: Bands, press: zstandard.ZstdCompressor) -> di
     ratio = len(data) / len(press.compress(data)) if data else 0.0
     low, high = next((a, b) for top, a, b in bands.whole if len(data) < top)
     size = bands.chunk_bytes
-    ratios = [len(c) / len(press.compress(c)) for c in (data[i : i + size] for i in range(0, len(data), size)) if len(c) == size] if len(data) >= 2 * size else []
+    ratios = [size / len(press.compress(data[i : i + size])) for i in (min(k, len(data) - size) for k in range(0, len(data), size))] if len(data) >= size else []
     bad = sum(not bands.chunk[0] <= r <= bands.chunk[1] for r in ratios)
     banded = low <= ratio <= high and not (ratios and bad >= bands.chunk_bad * len(ratios))
     return {
