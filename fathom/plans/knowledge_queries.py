@@ -105,8 +105,10 @@ def auto_consolidation(spark, d):
 @query("extraction_decisions")
 def extraction_decisions(spark, d):
     m = data.memories(spark, d).select("id", "content")
-    facts = m.filter("id < 250").select(F.col("id").alias("fact_id"), "content")
-    near = data.pairs(spark, d).select(F.col("id_a").alias("fact_id"), F.col("id_b").alias("id"), "similarity").join(m, "id")
+    facts = m.select(F.col("id").alias("fact_id"), "content")
+    # Only the nearest candidate decides, so only its text is fetched.
+    nearest = data.pairs(spark, d).groupBy(F.col("id_a").alias("fact_id")).agg(F.min(F.struct((-F.col("similarity")).alias("s"), F.col("id_b").alias("id"))).alias("x"))
+    near = nearest.select("fact_id", "x.id", (-F.col("x.s")).alias("similarity")).join(m, "id")
     return knowledge.extraction_decisions(facts, near, 0.3)
 
 
@@ -177,10 +179,10 @@ def survivor_links(spark, d):
     "WITH o AS (SELECT doc_id, doc_id % 4 = 0 AS changed, doc_id % 9 = 0 AS gone, doc_id % 10 = 3 AS new FROM documents WHERE doc_id < 200) SELECT CAST(sum(CASE WHEN NOT gone AND (changed OR new) THEN 1 ELSE 0 END) AS BIGINT) AS indexed, CAST(sum(CASE WHEN NOT gone AND NOT changed AND NOT new THEN 1 ELSE 0 END) AS BIGINT) AS unchanged, CAST(sum(CASE WHEN gone AND NOT new THEN 1 ELSE 0 END) AS BIGINT) AS deleted FROM o",
 )
 def index_run(spark, d):
-    """Of 200 files every fourth changed, every ninth is gone, every tenth is new."""
+    """Of the documents as files every fourth changed, every ninth is gone, every tenth is new."""
     at = F.lit(data.AS_OF).cast("timestamp")
     i = F.col("doc_id")
-    docs = data.table(spark, d, "documents").filter("doc_id < 200").select("doc_id", F.concat(F.lit("f"), i.cast("string")).alias("path"), F.col("text").alias("content"))
+    docs = data.table(spark, d, "documents").select("doc_id", F.concat(F.lit("f"), i.cast("string")).alias("path"), F.col("text").alias("content"))
     old = docs.filter(i % 10 != 3)
     now = docs.filter(i % 9 != 0).withColumn("content", F.when(i % 4 == 0, F.concat("content", F.lit(" x"))).otherwise(F.col("content")))
     hashed = lambda df: df.withColumn("content_hash", F.md5("content"))
