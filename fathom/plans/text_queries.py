@@ -206,7 +206,7 @@ def chunk_text(spark, d):
 
 @query("code_chunks")
 def code_chunks(spark, d):
-    code = F.concat(F.lit("def f"), F.col("doc_id").cast("string"), F.lit("():\n    return '"), F.regexp_replace(F.substring("text", 1, 60), "[^a-zA-Z ]", ""), F.lit("'\n\nclass C:\n    value = 'a class with a body that is long enough'\n"))
+    code = F.concat(F.lit("def f"), F.col("doc_id").cast("string"), F.lit("():\n    return '"), F.regexp_replace(F.regexp_replace("text", "[^a-zA-Z \n]", ""), "\n", "\n    "), F.lit("'\n\nclass C:\n    value = 'a class with a body that is long enough'\n"))
     return _docs(spark, d).select("doc_id", F.explode(chunking.code_chunks(code, F.lit("py")))).select("doc_id", "col.*")
 
 
