@@ -214,8 +214,8 @@ def code_chunks(spark, d):
 def segment_flatcase(spark, d):
     """Words of eight letters or more, split by the frequencies of the shorter ones."""
     tokens = _docs(spark, d).select(F.explode(T.doc_tokens(F.col("text"))).alias("w")).filter("w rlike '^[a-z]+$'")
-    counts = {r.w: r["count"] for r in tokens.filter("length(w) between 3 and 6").groupBy("w").count().orderBy(F.desc("count"), "w").limit(5000).collect()}
-    return tokens.filter("length(w) >= 8").distinct().select("w", F.array_join(chunking.segmented(F.col("w"), counts), " ").alias("pieces"))
+    counts = tokens.filter("length(w) between 3 and 6").groupBy("w").count()
+    return chunking.segmented_by(tokens.filter("length(w) >= 8").distinct(), counts, 6).select("w", F.array_join("pieces", " ").alias("pieces"))
 
 
 @query("bpe_train")
