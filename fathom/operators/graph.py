@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+import itertools
 import tempfile
 import uuid
 from collections import defaultdict
@@ -146,7 +147,7 @@ def label_propagation(edges: DataFrame, steps: int = 100) -> DataFrame:
     return label
 
 
-def shortest_paths(edges: DataFrame, start: int, steps: int = 30) -> DataFrame:
+def shortest_paths(edges: DataFrame, start: int) -> DataFrame:
     """node, distance, weight, path from a start over undirected edges of length 1 / weight (weights of 0 or less: 0.01); weight adds up the weights along the path."""
     w = F.when(F.col("weight") > 0, F.col("weight")).otherwise(0.01)
     pairs = edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v"), w.alias("w")).unionAll(edges.select("target_id", "source_id", w)).groupBy("u", "v").agg(F.max("w").alias("w"))
@@ -154,7 +155,7 @@ def shortest_paths(edges: DataFrame, start: int, steps: int = 30) -> DataFrame:
     spark = edges.sparkSession
     best = spark.range(1).select(F.lit(start).cast("long").alias("node"), F.struct(F.lit(0.0).alias("distance"), F.lit(0.0).alias("weight"), F.array(F.lit(start).cast("long")).alias("path")).alias("b"))
     front = best
-    for _ in range(steps):
+    while True:  # lengths are positive, so paths do not run in circles and the front gets empty
         step = front.join(pairs, F.col("node") == F.col("u")).select(F.col("v").alias("node"), F.struct((F.col("b.distance") + 1 / F.col("w")).alias("distance"), (F.col("b.weight") + F.col("w")).alias("weight"), F.concat(F.col("b.path"), F.array("v")).alias("path")).alias("b"))
         merged = cut(best.select("node", "b", F.lit(False).alias("new")).unionAll(step.select("node", "b", F.lit(True))).groupBy("node").agg(F.min(F.struct("b", "new")).alias("x")).select("node", "x.b", "x.new"))
         best, front = merged.select("node", "b"), merged.filter("new").select("node", "b")
@@ -300,17 +301,17 @@ def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     return parts.groupBy("component").applyInPandas(run, "id long, community long")
 
 
-def topological_levels(tasks: DataFrame, steps: int = 100) -> DataFrame:
+def topological_levels(tasks: DataFrame) -> DataFrame:
     """id, level for tasks (id, depends_on): 0 without dependencies, else one more than the highest of them; tasks in or behind a cycle or a missing task have none."""
     needs = cut(tasks.select("id", F.explode("depends_on").alias("d")))
     done = cut(tasks.join(needs.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("level")))
-    for level in range(1, steps + 1):
+    for level in itertools.count(1):
         open_ = needs.join(done.select(F.col("id").alias("d")), "d", "left_anti").select("id").distinct()
         ready = needs.select("id").distinct().join(open_, "id", "left_anti").join(done, "id", "left_anti").select("id", F.lit(level).cast("long").alias("level"))
         ready = cut(ready)
         if not ready.take(1):
             break
-        done = done.unionAll(ready)
+        done = cut(done.unionAll(ready))
     return done
 
 
