@@ -7,32 +7,40 @@ probability, weighted by P_e and the product of the children's P_w, so that all
 from an empty context (zero bytes) to a closing zero byte, so probabilities of texts add up to one. Its code length follows from the distinct (depth + 1)-grams.
 
 Counting goes through the packed exchange: a chunk of about 8 MB sends each distinct gram and each distinct word once, with its training count. Gram names start
-with the two nearest context bytes, scattered; all nodes from depth 2 down lie within one bucket, which computes their P_w. Depths 1 and 0 are 256 rows of fixed
-size, the only thing sent to the driver, and bucket by bucket the grams of a chunk are answered with their log probability. Counts and statistics are over all documents.
+with the three nearest context bytes, scattered; all nodes from depth 3 down lie within one bucket, which computes their P_w. Depths 2 to 0 have at most 65 536 contexts of
+255 nodes; they alone are sent to the driver, and back to the buckets (4 KB for each pair of bytes that occurs). Bucket by bucket the grams of a chunk are answered with
+their log probability. Counts and statistics are over all documents.
 
-The base score is the unigram model of the contract, with words by 64-bit fingerprints. Null texts are empty and still have the end. A null id counts as the empty text. Repeated rows count
-as often as they stand and have equal scores. Without training documents every decision has probability 1/2. An empty table gives no row. Only id and text are read.
+The base score is the unigram model of the contract; words are compared as they are. Null texts are empty and still have the end. A null id counts as the empty text. Repeated
+rows count as often as they stand and have equal scores. Without training documents every decision has probability 1/2. An empty table gives no row. Only id and text are read.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm import exchange, hashing
-from fathom.llm.shared import id_text, materialise, shared_dir, text_bytes
+from fathom.llm import exchange
+from fathom.llm.shared import id_text, materialise, quoted, shared_dir, text_bytes
 
 _WORD, _GRAM = 0, 1
-#: An odd number and its inverse modulo 2^16 scatter the nearest two context bytes.
-_SCATTER = 40503
-_GATHER = pow(_SCATTER, -1, 1 << 16)
+#: An odd number that scatters the nearest context bytes.
+_SCATTER = 0x9E3779
+
+
+def _near(depth: int) -> int:
+    """Context bytes that a bucket's grams may share; nodes of this depth and below are the bucket's."""
+    return min(3, depth)
 
 
 @dataclass(frozen=True)
@@ -59,16 +67,23 @@ def kt_block(zeros: np.ndarray, ones: np.ndarray) -> np.ndarray:
 
 
 def gram_codes(text: bytes, depth: int) -> np.ndarray:
-    """A code for every byte and the closing one: nearest two context bytes scattered, further context bytes, the byte."""
+    """A code for every byte and the closing one: nearest context bytes scattered, further context bytes, the byte."""
     data = np.frombuffer(bytes(depth) + text + b"\0", np.uint8).astype(np.uint64)
-    n = len(text) + 1
-    near = (data[depth - 1 : depth - 1 + n] << np.uint64(8)) | data[depth - 2 : depth - 2 + n]
-    code = (near * np.uint64(_SCATTER)) & np.uint64(0xFFFF)
-    for k in range(3, depth + 1):
+    n, top = len(text) + 1, _near(depth)
+    code = np.zeros(n, np.uint64)
+    for k in range(1, depth + 1):
         code = (code << np.uint64(8)) | data[depth - k : depth - k + n]
+        if k == top:
+            code = (code * np.uint64(_SCATTER)) & np.uint64((1 << 8 * top) - 1)
     return (code << np.uint64(8)) | data[depth : depth + n]
 
 
+def _nearest(codes: np.ndarray, above: int, depth: int) -> np.ndarray:
+    """The nearest context bytes, from their scattered form that stands `above` bits up."""
+    bits = 8 * _near(depth)
+    return ((codes >> np.uint64(above)) * np.uint64(pow(_SCATTER, -1, 1 << bits))) & np.uint64((1 << bits) - 1)
+
+
 def _runs(keys: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, np.int64)
 
@@ -85,9 +100,9 @@ class Level:
 
 
 def grow(codes: np.ndarray, counts: np.ndarray, depth: int) -> dict[tuple[int, int], Level]:
-    """Levels of depth 2 to `depth`; codes are sorted and distinct, counts above 0."""
+    """Levels from `depth` up to that of the nearest bytes; codes are sorted and distinct, counts above 0."""
     levels: dict[tuple[int, int], Level] = {}
-    for d in range(depth, 1, -1):
+    for d in range(depth, _near(depth) - 1, -1):
         at = ((codes >> np.uint64(8 * (depth - d) + 8)) << np.uint64(8)) | (codes & np.uint64(255))
         grams, inverse = np.unique(at, return_inverse=True)
         n = np.bincount(inverse, weights=counts, minlength=len(grams))
@@ -108,20 +123,18 @@ def grow(codes: np.ndarray, counts: np.ndarray, depth: int) -> dict[tuple[int, i
     return levels
 
 
-def _nearest(codes: np.ndarray, above: int) -> np.ndarray:
-    """The byte just before, from the scattered pair that stands `above` bits up."""
-    return (((codes >> np.uint64(above)) * np.uint64(_GATHER)) & np.uint64(0xFFFF)).astype(np.int64) >> 8
-
-
-def roots(levels: dict[tuple[int, int], Level], codes: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """What depth 1 needs of one bucket: by nearest byte the sums of log P_w at depth 2 by node (1 to 255), and the byte counts."""
-    below, seen = np.zeros((256, 256)), np.zeros((256, 256))
+def roots(levels: dict[tuple[int, int], Level], codes: np.ndarray, counts: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What the depth above needs of one bucket, by context there: (contexts, sums of log P_w by node (1 to 255), byte counts)."""
+    top = _near(depth)
+    at_byte = _nearest(codes, 8 * (depth - top) + 8, depth) >> np.uint64(8)
+    contexts, row = np.unique(at_byte, return_inverse=True)
+    below, seen = np.zeros((len(contexts), 256)), np.zeros((len(contexts), 256))
+    np.add.at(seen, (row, (codes & np.uint64(255)).astype(np.int64)), counts)
     for k in range(8):
-        level = levels[2, k]
+        level = levels[top, k]
         node = (1 << k) | (level.keys & np.uint64((1 << k) - 1)).astype(np.int64)
-        np.add.at(below, (_nearest(level.keys, k), node), level.log_pw)
-    np.add.at(seen, (_nearest(codes, 8 * (depth - 2) + 8), (codes & np.uint64(255)).astype(np.int64)), counts)
-    return below, seen
+        np.add.at(below, (np.searchsorted(contexts, _nearest(level.keys, k, depth) >> np.uint64(8)), node), level.log_pw)
+    return contexts, below, seen
 
 
 def _node_counts(byte_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,22 +148,28 @@ def _node_counts(byte_counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 @dataclass
-class Top:
-    """Depths 1 (rows: nearest byte) and 0: probability of a one by KT, and the weight of it against deeper nodes."""
+class Shallow:
+    """One depth above the buckets: contexts sorted, and by context and node the probability of a one by KT and its weight against deeper nodes."""
 
-    one1: np.ndarray
-    own1: np.ndarray
-    one0: np.ndarray
-    own0: np.ndarray
+    contexts: np.ndarray
+    one: np.ndarray
+    own: np.ndarray
 
-    @staticmethod
-    def of(below: np.ndarray, seen: np.ndarray) -> Top:
+
+def shallow(contexts: np.ndarray, below: np.ndarray, seen: np.ndarray, depth: int) -> list[Shallow]:
+    """The depths above the buckets, deepest first."""
+    levels = []
+    for d in range(_near(depth) - 1, -1, -1):
         total, ones = _node_counts(seen)
         pe = kt_block(total - ones, ones)
+        levels.append(Shallow(contexts, (ones + 0.5) / (total + 1), _share(pe - below)))
         pw = np.where(total > 0, np.logaddexp(pe, below) - math.log(2), 0.0)
-        total0, ones0 = _node_counts(seen.sum(axis=0))
-        beta0 = kt_block(total0 - ones0, ones0) - pw.sum(axis=0)
-        return Top((ones + 0.5) / (total + 1), _share(pe - below), (ones0 + 0.5) / (total0 + 1), _share(beta0))
+        contexts, row = np.unique(contexts >> np.uint64(8), return_inverse=True)
+        parts = pw, seen
+        below, seen = (np.zeros((len(contexts), 256)) for _ in range(2))
+        np.add.at(below, row, parts[0])
+        np.add.at(seen, row, parts[1])
+    return levels
 
 
 def _share(log_beta: np.ndarray) -> np.ndarray:
@@ -158,15 +177,21 @@ def _share(log_beta: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(log_beta, -700, 700)))
 
 
-def log_probability(queries: np.ndarray, levels: dict[tuple[int, int], Level], top: Top, depth: int) -> np.ndarray:
+def log_probability(queries: np.ndarray, levels: dict[tuple[int, int], Level], top: list[Shallow], depth: int) -> np.ndarray:
     """Natural log of the probability of each gram's byte in its context."""
     result = np.zeros(len(queries))
-    near = _nearest(queries, 8 * (depth - 2) + 8)
+    deepest = _near(depth)
+    near = _nearest(queries, 8 * (depth - deepest) + 8, depth)
+    rows = []
+    for j, level in enumerate(top):
+        context = near >> np.uint64(8 * (j + 1))
+        at = np.minimum(np.searchsorted(level.contexts, context), max(len(level.contexts) - 1, 0))
+        rows.append((at, level.contexts[at] == context if len(level.contexts) else np.zeros(len(queries), bool)))
     for k in range(8):
         bit = ((queries >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
         prefix = (queries & np.uint64(255)) >> np.uint64(8 - k)
         p = np.full(len(queries), 0.5)
-        for d in range(depth, 1, -1):
+        for d in range(depth, deepest - 1, -1):
             level = levels[d, k]
             key = ((queries >> np.uint64(8 * (depth - d) + 8)) << np.uint64(k)) | prefix
             at = np.minimum(np.searchsorted(level.keys, key), max(len(level.keys) - 1, 0))
@@ -176,8 +201,10 @@ def log_probability(queries: np.ndarray, levels: dict[tuple[int, int], Level], t
             weight = 1.0 if level.log_beta is None else _share(level.log_beta[at])
             p[known] = weight * own + (1 - weight) * p[known]  # a node without counts mixes 1/2 with 1/2
         node = (1 << k) | prefix.astype(np.int64)
-        for one, own in ((top.one1[near, node], top.own1[near, node]), (top.one0[node], top.own0[node])):
-            p = own * np.where(bit, one, 1 - one) + (1 - own) * p
+        for level, (at, known) in zip(top, rows, strict=True):
+            at, n = at[known], node[known]
+            one, own = level.one[at, n], level.own[at, n]
+            p[known] = own * np.where(bit[known], one, 1 - one) + (1 - own) * p[known]
         result += np.log(p)
     return result
 
@@ -186,6 +213,10 @@ def is_held_out(doc_id: str, modulus: int) -> bool:
     return zlib.crc32(doc_id.encode()) % modulus == 0
 
 
+def _crc(words: pa.Array) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words.to_pylist()), np.uint64, len(words))
+
+
 class _Chunk:
     """Documents of a chunk in batches of about batch_bytes."""
 
@@ -198,46 +229,59 @@ class _Chunk:
     def batches(self):
         start = size = 0
         texts: list[bytes] = []
+        press = zstandard.ZstdDecompressor()
         for i, x in enumerate(self.texts):
-            texts.append((x.as_py() or "").encode("utf-8", "surrogatepass"))
+            texts.append(press.decompress(x.as_py()))
             size += len(texts[-1])
             if size >= self.tree.batch_bytes or i + 1 == len(self.texts):
                 yield start, texts
                 start, size, texts = i + 1, 0, []
 
     @staticmethod
-    def _tally(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    def words(texts: list[bytes]) -> tuple[pa.DictionaryArray, list[int]]:
+        """The words of all texts, and how many each has."""
+        each = [t.lower().split() for t in texts]
+        return pa.array([w for ws in each for w in ws], pa.binary()).dictionary_encode(), [len(ws) for ws in each]
+
+    def grams(self) -> tuple[np.ndarray, np.ndarray]:
+        """Distinct grams, sorted, and their counts in training documents."""
+        parts = []
+        for start, texts in self.batches():
+            each = [gram_codes(t, self.tree.depth) for t in texts]
+            inverse, keys = pd.factorize(np.concatenate(each))
+            weights = np.repeat(~self.held[start : start + len(texts)], [len(e) for e in each])
+            parts.append((keys, np.bincount(inverse, weights=weights, minlength=len(keys))))
         keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
         return keys, np.bincount(inverse, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.uint64)
 
-    def counts(self) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-        """Distinct words and grams with their counts in training documents."""
-        found: dict[int, list] = {_WORD: [], _GRAM: []}
+    def vocabulary(self, buckets: int) -> tuple[pa.Array, np.ndarray, list[tuple[int, int, int]]]:
+        """Distinct words in an order that follows from them alone, their counts in training documents, and (bucket, from, to)."""
+        words, counts = [], []
         for start, texts in self.batches():
-            trains = ~self.held[start : start + len(texts)]
-            for kind, of in ((_WORD, _words), (_GRAM, lambda t: gram_codes(t, self.tree.depth))):
-                each = [of(t) for t in texts]
-                inverse, keys = pd.factorize(np.concatenate(each))
-                weights = np.repeat(trains.astype(float), [len(e) for e in each])
-                found[kind].append((keys, np.bincount(inverse, weights=weights, minlength=len(keys))))
-        return {kind: self._tally(parts) for kind, parts in found.items()}
-
-
-def _words(text: bytes) -> np.ndarray:
-    return hashing.word_hashes(text.lower())
+            found, sizes = self.words(texts)
+            words.append(found.dictionary)
+            weights = np.repeat(~self.held[start : start + len(texts)], sizes)
+            counts.append(np.bincount(found.indices.to_numpy(), weights=weights, minlength=len(found.dictionary)))
+        every = pa.concat_arrays(words).dictionary_encode()
+        total = np.bincount(every.indices.to_numpy(), weights=np.concatenate(counts), minlength=len(every.dictionary))
+        order, crc = exchange.by_word(every.dictionary, _crc(every.dictionary))
+        return every.dictionary.take(pa.array(order)), total[order].astype(np.uint64), exchange.split_buckets(crc[order], 32, buckets)
 
 
 def _count(chunks: DataFrame, tree: Tree, words: int, grams: int) -> DataFrame:
-    buckets = {_WORD: words, _GRAM: grams}
-    bits = {_WORD: 64, _GRAM: 8 * (tree.depth + 1)}
+    """Requests of both kinds; words travel as they are."""
 
     def run(chunk: pa.Table) -> pa.Table:
-        made = _Chunk(chunk, tree).counts()
-        parts = []
-        for kind, (keys, counts) in made.items():
-            rows = exchange.request_rows(chunk["chunk"][0].as_py(), keys, counts, exchange.split_buckets(keys, bits[kind], buckets[kind]))
-            parts.append(rows.append_column("kind", pa.array([kind] * len(rows), pa.int32())))
-        return pa.concat_tables(parts)
+        of, number = _Chunk(chunk, tree), chunk["chunk"][0].as_py()
+        keys, counts = of.grams()
+        first = exchange.request_rows(number, keys, counts, exchange.split_buckets(keys, 8 * (tree.depth + 1), grams))
+        found, counts, parts = of.vocabulary(words)
+        press = zstandard.ZstdCompressor(level=1)
+        second = pa.table({
+            "bucket": pa.array([p[0] for p in parts], pa.int32()), "chunk": pa.array([number] * len(parts), pa.int64()),
+            "keys": pa.array([press.compress(b" ".join(found[a:b].to_pylist())) for _, a, b in parts], pa.binary()), "counts": pa.array([exchange.pack(counts[a:b]) for _, a, b in parts], pa.binary()),
+        })
+        return pa.concat_tables([rows.append_column("kind", pa.array([kind] * len(rows), pa.int32())) for kind, rows in ((_GRAM, first), (_WORD, second))])
 
     return chunks.groupBy("chunk").applyInArrow(run, f"{exchange.REQUEST}, kind int")
 
@@ -249,45 +293,64 @@ def _trained(bucket: pa.Table, depth: int) -> tuple[dict[tuple[int, int], Level]
     return grow(codes, counts, depth), codes, counts, (keys, place, ends)
 
 
-def _top(requests: DataFrame, depth: int) -> Top:
+def _top(requests: DataFrame, depth: int) -> list[Shallow]:
     def run(bucket: pa.Table) -> pa.Table:
         levels, codes, counts, _ = _trained(bucket, depth)
-        below, seen = roots(levels, codes, counts, depth)
-        rows = np.flatnonzero(seen.any(axis=1))
-        return pa.table({"byte": pa.array(rows, pa.int32()), "bucket": pa.array([bucket["bucket"][0].as_py()] * len(rows), pa.int32()), "below": pa.array([below[r].tobytes() for r in rows], pa.binary()), "seen": pa.array([seen[r].tobytes() for r in rows], pa.binary())})
+        contexts, below, seen = roots(levels, codes, counts, depth)
+        some = (below != 0) | (seen != 0)
+        packed = [np.flatnonzero(x).astype(np.uint8).tobytes() for x in some]
+        rows = range(len(contexts))
+        return pa.table({
+            "context": pa.array(contexts, pa.int64()), "bucket": pa.array([bucket["bucket"][0].as_py()] * len(contexts), pa.int32()), "at": pa.array(packed, pa.binary()),
+            "below": pa.array([below[r, some[r]].tobytes() for r in rows], pa.binary()), "seen": pa.array([seen[r, some[r]].tobytes() for r in rows], pa.binary()),
+        })
 
     def add(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("bucket")  # sums of doubles in one order, so that reruns agree
-        total = lambda c: sum((np.frombuffer(x.as_py()) for x in rows[c]), np.zeros(256)).tobytes()
-        return pa.table({"byte": rows["byte"][:1].cast(pa.int32()), "below": pa.array([total("below")], pa.binary()), "seen": pa.array([total("seen")], pa.binary())})
-
-    parts = requests.groupBy("bucket").applyInArrow(run, "byte int, bucket int, below binary, seen binary")
-    below, seen = np.zeros((256, 256)), np.zeros((256, 256))
-    for r in parts.groupBy("byte").applyInArrow(add, "byte int, below binary, seen binary").collect():  # 256 rows at most
-        below[r.byte], seen[r.byte] = np.frombuffer(r.below), np.frombuffer(r.seen)
-    return Top.of(below, seen)
-
-
-def _gram_answers(requests: DataFrame, top: Top, depth: int) -> DataFrame:
+        total = np.zeros((2, 256))
+        for r in rows.sort_by("bucket").to_pylist():  # sums of doubles in one order, so that reruns agree
+            at = np.frombuffer(r["at"], np.uint8)
+            total[0, at] += np.frombuffer(r["below"])
+            total[1, at] += np.frombuffer(r["seen"])
+        some = total.any(axis=0)
+        return pa.table({"context": rows["context"][:1], "at": pa.array([np.flatnonzero(some).astype(np.uint8).tobytes()], pa.binary()), "sums": pa.array([total[:, some].tobytes()], pa.binary())})
+
+    parts = requests.groupBy("bucket").applyInArrow(run, "context long, bucket int, at binary, below binary, seen binary")
+    found = sorted(parts.groupBy("context").applyInArrow(add, "context long, at binary, sums binary").collect(), key=lambda r: r.context)  # 65 536 rows at most
+    below, seen = np.zeros((len(found), 256)), np.zeros((len(found), 256))
+    for i, r in enumerate(found):
+        at = np.frombuffer(r["at"], np.uint8)
+        below[i, at], seen[i, at] = np.frombuffer(r.sums).reshape(2, -1)
+    return shallow(np.array([r.context for r in found], np.uint64), below, seen, depth)
+
+
+def _gram_answers(requests: DataFrame, top: list[Shallow], depth: int) -> DataFrame:
     sent = requests.sparkSession.sparkContext.broadcast(top)
 
     def run(bucket: pa.Table) -> pa.Table:
         levels, _, _, (keys, place, ends) = _trained(bucket, depth)
-        found = log_probability(keys, levels, sent.value, depth).astype(np.float32)
+        found = log_probability(keys, levels, sent.value, depth)
         return exchange.answer_rows(bucket, [x.tobytes() for x in np.split(found[place], ends[:-1])])
 
     return requests.groupBy("bucket").applyInArrow(run, exchange.ANSWER)
 
 
 def _word_answers(requests: DataFrame) -> DataFrame:
-    """Totals of the words; a row of chunk -1 a bucket has its numbers of distinct training words and of their tokens."""
+    """Totals of the words; the first row of a bucket has its numbers of distinct training words and of their tokens, the others 0."""
 
     def run(bucket: pa.Table) -> pa.Table:
-        _, totals, place, ends = exchange.merged(bucket)
-        stats = pa.table({"chunk": pa.array([-1], pa.int64()), "bucket": bucket["bucket"][:1].cast(pa.int32()), "answer": pa.array([np.array([(totals > 0).sum(), totals.sum()], np.int64).tobytes()], pa.binary())})
-        return pa.concat_tables([exchange.answer_rows(bucket, [exchange.pack(x) for x in np.split(totals[place], ends[:-1])]), stats])
+        press = zstandard.ZstdDecompressor()
+        words = [pa.array(press.decompress(x.as_py()).split(b" "), pa.binary()) for x in bucket["keys"]]
+        every = pa.concat_arrays(words).dictionary_encode()
+        place = every.indices.to_numpy()
+        counts = np.concatenate([exchange.unpack(x.as_py()) for x in bucket["counts"]]).astype(np.int64)
+        totals = np.zeros(len(every.dictionary), np.int64)
+        np.add.at(totals, place, counts)
+        rows = exchange.answer_rows(bucket, [exchange.pack(x) for x in np.split(totals[place], np.cumsum([len(w) for w in words])[:-1])])
+        for name, n in (("n_distinct", int((totals > 0).sum())), ("n_tokens", int(totals.sum()))):
+            rows = rows.append_column(name, pa.array([n] + [0] * (len(rows) - 1), pa.int64()))
+        return rows
 
-    return requests.groupBy("bucket").applyInArrow(run, exchange.ANSWER)
+    return requests.groupBy("bucket").applyInArrow(run, f"{exchange.ANSWER}, n_distinct long, n_tokens long")
 
 
 _SCORES = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long, bits_per_byte double"
@@ -296,42 +359,56 @@ _SCORES = "held_out boolean, n_tokens long, n_known long, train_tokens long, bas
 def score(documents: DataFrame, tree: Tree = Tree(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id and the scores."""
     spark, path = documents.sparkSession, shared_dir(documents.sparkSession)
-    rows = documents.select(F.col(id_col).alias("doc_id"), id_text(F.col(id_col)).alias("id_text"), F.col(text_col).alias("text"))
+    rows = documents.select(F.col(quoted(id_col)).alias("doc_id"), id_text(F.col(quoted(id_col))).alias("id_text"), F.col(quoted(text_col)).alias("text"))
+    kind_of_id = dict(rows.dtypes)["doc_id"]
     total = rows.agg(F.sum(text_bytes(F.col("text")))).first()[0] or 0
     n_chunks = exchange.chunk_count(total, tree.chunk_bytes)
-    chunks = rows.withColumn("chunk", F.pmod(F.xxhash64("id_text", "text"), F.lit(n_chunks)))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=1)
+        for batch in batches:
+            texts = pa.array([press.compress((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in batch.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, batch.column(3)], names=["doc_id", "id_text", "text", "chunk"])
+
+    dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id_text", "text"), F.lit(n_chunks)))
+    chunks = dealt.mapInArrow(packed, f"doc_id {kind_of_id}, id_text string, text binary, chunk long")
     # Rows sent: at most one for 4 bytes; the buckets' number follows from that bound.
     buckets = exchange.bucket_count(total // 20)
-    requests = materialise(_count(chunks, tree, buckets, min(buckets, 1 << 14)), f"{path}/requests")
+    requests = materialise(_count(chunks, tree, min(buckets, 1 << 31), min(buckets, 1 << 8 * _near(tree.depth))), f"{path}/requests")
     of = lambda kind: requests.filter(F.col("kind") == kind).drop("kind")
     words = materialise(_word_answers(of(_WORD)), f"{path}/words")
-    stats = [np.frombuffer(r.answer, np.int64) for r in words.filter("chunk = -1").collect()]  # a row a bucket
+    stats = words.agg(F.sum("n_distinct"), F.sum("n_tokens")).first()
     ends = rows.filter(F.crc32(F.col("id_text").cast("binary")) % tree.modulus != 0).count()
-    distinct, tokens = sum(int(s[0]) for s in stats) + (ends > 0), sum(int(s[1]) for s in stats) + ends
+    distinct, tokens = (stats[0] or 0) + (ends > 0), (stats[1] or 0) + ends
     grams = _gram_answers(of(_GRAM), _top(of(_GRAM), tree.depth), tree.depth)
-    replies = words.filter("chunk >= 0").withColumn("kind", F.lit(_WORD)).unionAll(grams.withColumn("kind", F.lit(_GRAM)))
+    replies = words.drop("n_distinct", "n_tokens").withColumn("kind", F.lit(_WORD)).unionAll(grams.withColumn("kind", F.lit(_GRAM)))
     norm, log10 = math.log10(tokens + 0.1 * (distinct + 1)), math.log(10)
+    alone = math.log10(ends + 0.1) - norm
 
     def use(chunk: pa.Table, found: pa.Table) -> pa.Table:
         made = _Chunk(chunk, tree)
-        keys = {kind: k for kind, (k, _) in made.counts().items()}
+        keys, known = made.grams()[0], made.vocabulary(1)[0]
         kinds = found["kind"].to_numpy()
         replies = {k: exchange.in_order(found.filter(pa.array(kinds == k))) for k in (_WORD, _GRAM)}
-        totals = np.concatenate([exchange.unpack(a) for a in replies[_WORD]]) if replies[_WORD] else np.zeros(0, np.uint64)
-        logs = np.concatenate([np.frombuffer(a, np.float32) for a in replies[_GRAM]]).astype(float)
-        out = []
+        totals = np.concatenate([exchange.unpack(a) for a in replies[_WORD]]).astype(float) if replies[_WORD] else np.zeros(0)
+        logs = np.concatenate([np.frombuffer(a, np.float64) for a in replies[_GRAM]])
+        out: dict[str, list[np.ndarray]] = {c.split()[0]: [] for c in _SCORES.split(", ")}
+
+        def summed(values: np.ndarray, sizes: list[int]) -> np.ndarray:
+            """Sums over neighbours, one for each text; a text may have none."""
+            return np.add.reduceat(np.append(values, 0.0), np.cumsum([0, *sizes[:-1]])) * (np.array(sizes) > 0)
+
         for start, texts in made.batches():
-            held = made.held[start : start + len(texts)]
             codes = [gram_codes(t, tree.depth) for t in texts]
             inverse, distinct_codes = pd.factorize(np.concatenate(codes))
-            each = logs[np.searchsorted(keys[_GRAM], distinct_codes)][inverse]
-            sums = np.add.reduceat(each, np.r_[0, np.cumsum([len(c) for c in codes])[:-1]])
-            for i, text in enumerate(texts):
-                c = np.append(totals[np.searchsorted(keys[_WORD], _words(text))].astype(float), ends)
-                points = sums[i] / log10
-                out.append((bool(held[i]), len(c), int((c > 0).sum()), tokens, float((np.log10(c + 0.1) - norm).sum()), float(points), len(text), float(-points * math.log2(10) / (len(text) + 1))))
+            points = summed(logs[np.searchsorted(keys, distinct_codes)][inverse], [len(c) for c in codes]) / log10
+            words, sizes = made.words(texts)
+            times = totals[pc.index_in(words.dictionary, value_set=known).to_numpy()][words.indices.to_numpy()] if len(words) else np.zeros(0)
+            n_bytes = np.array([len(t) for t in texts], np.int64)
+            columns = (made.held[start : start + len(texts)], np.array(sizes) + 1, summed(times > 0, sizes).astype(np.int64) + (ends > 0), np.full(len(texts), tokens), summed(np.log10(times + 0.1) - norm, sizes) + alone, points, n_bytes, -points * math.log2(10) / (n_bytes + 1))
+            for name, values in zip(out, columns, strict=True):
+                out[name].append(values)
         kinds_of = {"boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64()}
-        columns = [x.split() for x in _SCORES.split(", ")]
-        return pa.table({"doc_id": chunk["doc_id"]} | {k: pa.array([o[j] for o in out], kinds_of[t]) for j, (k, t) in enumerate(columns)})
+        return pa.table({"doc_id": chunk["doc_id"]} | {k: pa.array(np.concatenate(out[k]), kinds_of[t]) for k, t in (c.split() for c in _SCORES.split(", "))})
 
-    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(use, f"doc_id {dict(rows.dtypes)['doc_id']}, {_SCORES}")
+    return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(use, f"doc_id {kind_of_id}, {_SCORES}")

@@ -90,19 +90,42 @@ def answer_rows(bucket: pa.Table, answers: list[bytes]) -> pa.Table:
     return pa.table({"chunk": bucket["chunk"].cast(pa.int64()), "bucket": bucket["bucket"].cast(pa.int32()), "answer": pa.array(answers, pa.binary())})
 
 
+def ranked(keys: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys (by a second lane where the first agrees), and which of them in this order are the first of their kind."""
+    order = np.argsort(keys, kind="stable")
+    one = keys[order]
+    same = one[1:] == one[:-1]
+    if more is not None and (same & ((two := more[order])[1:] != two[:-1])).any():
+        order = np.lexsort((more, keys))
+        one, two = keys[order], more[order]
+        same = (one[1:] == one[:-1]) & (two[1:] == two[:-1])
+    return order, np.r_[True, ~same][: len(keys)]
+
+
+def by_word(words: pa.Array, crc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of distinct words by their CRC and then by themselves; and the CRCs."""
+    order = np.argsort(crc, kind="stable")
+    one = crc[order]
+    same = np.flatnonzero(one[1:] == one[:-1])
+    for i in same[np.r_[True, np.diff(same) > 1][: len(same)]].tolist():  # where a run of equal CRCs starts
+        j = i + 1 + int(np.argmax(np.r_[one[i + 1 :] != one[i], True]))
+        order[i:j] = sorted(order[i:j].tolist(), key=lambda k: words[k].as_py())
+    return order, crc
+
+
 def merged(bucket: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one bucket: distinct keys, their totals, and for every entry sent its place among them; last, where each row's entries end."""
+    """Of one bucket: distinct keys, their totals, and for every entry sent its place among them; last, where each row's entries end. A column `more` is a
+    second lane of the keys."""
     keys = [unpack_sorted(x.as_py()) for x in bucket["keys"]]
     counts = np.concatenate([unpack(x.as_py()) for x in bucket["counts"]]).astype(np.int64)
+    more = np.concatenate([unpack(x.as_py()) for x in bucket["more"]]) if "more" in bucket.column_names else None
     ends = np.cumsum([len(k) for k in keys])
     flat = np.concatenate(keys)
-    order = np.argsort(flat, kind="stable")
-    ranked = flat[order]
-    first = np.r_[True, ranked[1:] != ranked[:-1]]
+    order, first = ranked(flat, more)
     place = np.empty(len(flat), np.int64)
     place[order] = np.cumsum(first) - 1
     starts = np.flatnonzero(first)
-    return ranked[starts], np.add.reduceat(counts[order], starts), place, ends
+    return flat[order[starts]], np.add.reduceat(counts[order], starts), place, ends
 
 
 def answers(requests: DataFrame, encode: Callable[[np.ndarray], bytes]) -> DataFrame:

@@ -1,6 +1,6 @@
 """N-gram Jaccard join by blocked sparse matrix products (operator 5).
 
-1. Every text becomes its set of word shingles, as 64-bit fingerprints. Documents with the same set are one class, so copies cost one row.
+1. Every text becomes its set of word shingles, as fingerprints of 128 bits. Documents with the same set are one class, so copies cost one row.
 2. Document frequencies of all shingles come from the packed exchange. A pair at the threshold shares a shingle among the first
    n - ceil(t n) + 1 of each set in order of rarity; shingles of one document alone are left out of sets, as they overlap with nothing.
 3. Documents that share such a prefix shingle are joined to the least of them; the components of these candidate edges are groups outside which no
@@ -24,13 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fathom.llm import exchange
 from fathom.llm.components import components
-from fathom.llm.hashing import shingles, word_hashes
-from fathom.llm.shared import materialise, shared_dir
+from fathom.llm.hashing import shingle_sets
+from fathom.llm.shared import materialise, quoted, shared_dir, unused
 
 
 @dataclass(frozen=True)
@@ -43,75 +44,83 @@ class Join:
     columns: int = 4096
 
 
-def shingle_set(text: str | None, width: int) -> np.ndarray:
-    return shingles(word_hashes(text.encode("utf-8", "surrogatepass").lower()), width) if text else np.zeros(0, np.uint64)
+def sets_of(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """Of each text its shingles, two lanes of 64 bits, ascending by the first."""
+    return shingle_sets([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts], width)
 
 
 def _class_key(items: np.ndarray) -> bytes | None:
-    return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if len(items) else None
-
-
-#: Of the 64 bits of a fingerprint, those that the frequency exchange sends; shingles that share them share a frequency, which orders them no less.
-_BITS = 40
+    return hashlib.blake2b(items.tobytes(), digest_size=16).digest() if items.shape[1] else None
 
 
 def _members(rows: DataFrame, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingle_set(x.as_py(), width) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_class_key, sets), pa.binary()), pa.array(map(len, sets), pa.int64())], names=["doc_id", "node", "n"])
+            sets = sets_of(batch.column(1).to_pylist(), width)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(map(_class_key, sets), pa.binary()), pa.array([x.shape[1] for x in sets], pa.int64())], names=["doc_id", "node", "n"])
 
     return rows.mapInArrow(run, f"doc_id {dict(rows.dtypes)['doc_id']}, node binary, n long")
 
 
 def _representatives(texts: DataFrame, width: int, chunks: int) -> DataFrame:
-    """(chunk, node, text): each class once a task, so that large groups of copies shrink before they move."""
+    """(chunk, node, text), a row for each class; texts are compressed. A task sends a class once, and what several tasks send becomes one row before Python gets
+    the chunk."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
+        press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            out: list[tuple[int, bytes, str]] = []
-            for x in batch.column(0):
-                key = _class_key(shingle_set(text := x.as_py(), width))
+            out: list[tuple[int, bytes, bytes]] = []
+            found = batch.column(0).to_pylist()
+            for text, key in zip(found, map(_class_key, sets_of(found, width)), strict=True):
                 if key and key not in seen:
                     seen.add(key)
-                    out.append((int.from_bytes(key[:8], "little") % chunks, key, text))
-            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.string()))], names=["chunk", "node", "text"])
+                    out.append((int.from_bytes(key[:8], "little") % chunks, key, press.compress(text.encode("utf-8", "surrogatepass"))))
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["chunk", "node", "text"])
 
-    return texts.mapInArrow(run, "chunk long, node binary, text string")
+    sent = texts.mapInArrow(run, "chunk long, node binary, text binary").repartition("chunk")
+    return sent.groupBy("chunk", "node").agg(F.first("text").alias("text"))
 
 
 def _sets(chunk: pa.Table, width: int) -> dict[bytes, np.ndarray]:
-    texts = dict(zip(chunk["node"].to_pylist(), chunk["text"].to_pylist(), strict=True))
-    return {k: shingle_set(texts[k], width) for k in sorted(texts)}
+    press = zstandard.ZstdDecompressor()
+    nodes, texts = chunk["node"].to_pylist(), [press.decompress(x.as_py()).lower() for x in chunk["text"]]
+    found = dict(zip(nodes, shingle_sets(texts, width), strict=True))
+    return {k: found[k] for k in sorted(found)}
+
 
+def _frequency_bits(items: int) -> int:
+    """Bits of a fingerprint's first lane that the frequency exchange sends: enough that one of `items` shingles shares them with another in few thousandths of all cases,
+    which makes it look frequent and costs work, never a pair."""
+    return min(64, max(40, items.bit_length() + 12))
 
-def _short(items: np.ndarray) -> np.ndarray:
-    return np.unique(items >> np.uint64(64 - _BITS))
+
+def _short(items: np.ndarray, bits: int) -> np.ndarray:
+    return np.unique(items[0] >> np.uint64(64 - bits))
 
 
 def _candidates(chunks: DataFrame, how: Join, items: int) -> DataFrame:
     """Classes with a prefix shingle that another has: node, n (size of the set), items (shingles of two classes or more, sorted), prefix."""
-    width, percent = how.width, how.percent
+    width, percent, bits = how.width, how.percent, _frequency_bits(items)
 
     def extract(chunk: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(np.concatenate([_short(s) for s in _sets(chunk, width).values()]), return_counts=True)
+        return np.unique(np.concatenate([_short(s, bits) for s in _sets(chunk, width).values()]), return_counts=True)
 
     def use(chunk: pa.Table, found: list[bytes]) -> pa.Table:
         sets = _sets(chunk, width)
-        keys = np.unique(np.concatenate([_short(s) for s in sets.values()]))
+        keys = np.unique(np.concatenate([_short(s, bits) for s in sets.values()]))
         frequency = np.frombuffer(b"".join(found), np.uint8)
         out: list[tuple[bytes, int, bytes, list[int]]] = []
         for node, s in sets.items():
-            often = frequency[np.searchsorted(keys, s >> np.uint64(64 - _BITS))]
-            n = len(s)
-            first = np.lexsort((s, often))[: n + (-percent * n // 100) + 1]  # n - ceil(percent * n / 100) + 1
+            often = frequency[np.searchsorted(keys, s[0] >> np.uint64(64 - bits))]
+            n = s.shape[1]
+            first = np.lexsort((s[0], often))[: n + (-percent * n // 100) + 1]  # n - ceil(percent * n / 100) + 1
             first = first[often[first] > 1]
             if len(first):
-                out.append((node, n, s[often > 1].tobytes(), s[first].view(np.int64).tolist()))
+                out.append((node, n, s[:, often > 1].tobytes(), s[0, first].view(np.int64).tolist()))
         return pa.table({k: pa.array([o[j] for o in out], t) for j, (k, t) in enumerate((("node", pa.binary()), ("n", pa.int64()), ("items", pa.binary()), ("prefix", pa.list_(pa.int64()))))})
 
-    requests = exchange.request(chunks, extract, _BITS, exchange.bucket_count(items))
+    requests = exchange.request(chunks, extract, bits, exchange.bucket_count(items))
     replies = exchange.answers(requests, lambda totals: np.minimum(totals, 255).astype(np.uint8).tobytes())
     return exchange.resolve(chunks, replies, use, "node binary, n long, items binary, prefix array<long>")
 
@@ -135,13 +144,13 @@ def _roots(linked: np.ndarray) -> np.ndarray:
 def product(nodes: list[bytes], sizes: np.ndarray, weight: np.ndarray, items: list[np.ndarray], side: np.ndarray | None, how: Join) -> tuple[list[int], list[int]]:
     """Of the rows of one task: root of each row, and the documents linked to it. side: 0 or 1, pairs of one side are another task's; None: all pairs."""
     m = len(nodes)
-    flat = np.concatenate(items)
-    row = np.repeat(np.arange(m), [len(x) for x in items])
-    _, column, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count > 1
-    order = np.argsort(column, kind="stable")
-    order = order[shared[column[order]]]
-    row, column = row[order], (np.cumsum(shared) - 1)[column[order]]
+    flat = np.concatenate(items, axis=1)
+    row = np.repeat(np.arange(m), [x.shape[1] for x in items])
+    order, new = exchange.ranked(flat[0], flat[1])
+    column = np.cumsum(new) - 1
+    shared = np.bincount(column, minlength=0) > 1
+    order, column = order[shared[column]], column[shared[column]]
+    row, column = row[order], (np.cumsum(shared) - 1)[column]
     overlap = np.zeros((m, m), np.float32)
     for start in range(0, int(shared.sum()), how.columns):
         a, b = np.searchsorted(column, (start, start + how.columns))
@@ -192,7 +201,7 @@ def _forest(units: DataFrame, how: Join) -> DataFrame:
     def run(unit: pa.Table) -> pa.Table:
         unit = unit.sort_by("node")
         nodes, sides = unit["node"].to_pylist(), unit["side"].to_numpy()
-        items = [np.frombuffer(x.as_py(), np.uint64) for x in unit["items"]]
+        items = [np.frombuffer(x.as_py(), np.uint64).reshape(2, -1) for x in unit["items"]]
         roots, links = product(nodes, unit["n"].to_numpy(), unit["docs"].to_numpy(), items, None if sides[0] < 0 else sides, how)
         keep = [i for i, (r, x) in enumerate(zip(roots, links, strict=True)) if r != i or x]
         return pa.table({"node": pa.array([nodes[i] for i in keep], pa.binary()), "root": pa.array([nodes[roots[i]] for i in keep], pa.binary()), "links": pa.array([links[i] for i in keep], pa.int64())})
@@ -203,7 +212,7 @@ def _forest(units: DataFrame, how: Join) -> DataFrame:
 def join(documents: DataFrame, how: Join = Join(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, n_links (documents linked to it, copies included), node (its set's key)."""
     path = shared_dir(documents.sparkSession)
-    rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    rows = documents.select(F.col(quoted(id_col)).alias("doc_id"), F.col(quoted(text_col)).alias("text"))
     members = materialise(_members(rows, how.width), f"{path}/members")
     classes = members.filter("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("docs"), F.max("n").alias("n"))
     n_docs = members.count()
@@ -229,16 +238,16 @@ def keep_one(documents: DataFrame, how: Join = Join(), id_col: str = "doc_id", t
     """The documents, one of each component: that with the least id. Rows of one id and one shingle set are kept once; of components whose ids are all null,
     and of null ids, one row of a set stays. Documents without shingles all stay."""
     made = join(documents, how, id_col, text_col)
-    kept = made.filter("node is not null and doc_id <=> component_id").select("node", F.col("doc_id").alias("__id")).distinct()
-    width = how.width
+    node, key, kept_id = unused(documents.columns, "node", "key", "kept_id")
+    kept = made.filter("node is not null and doc_id <=> component_id").select(F.col("node").alias(key), F.col("doc_id").alias(kept_id)).distinct()
+    width, at = how.width, documents.columns.index(text_col)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
-            yield batch.append_column("__node", pa.array([_class_key(shingle_set(x.as_py(), width)) for x in texts], pa.binary()))
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in documents.schema.fields)
-    rows = documents.mapInArrow(keyed, f"{schema}, __node binary")
-    bare = rows.filter("__node is null").drop("__node")
-    stay = rows.filter("__node is not null").join(kept, (F.col("__node") == F.col("node")) & F.col(f"`{id_col}`").eqNullSafe(F.col("__id")), "left_semi")
-    return stay.dropDuplicates([id_col, "__node"]).drop("__node").unionByName(bare)
+            yield batch.append_column(node, pa.array(map(_class_key, sets_of(batch.column(at).to_pylist(), width)), pa.binary()))
+
+    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in documents.schema.fields)
+    rows = documents.mapInArrow(keyed, f"{schema}, {node} binary")
+    bare = rows.filter(F.col(node).isNull()).drop(node)
+    stay = rows.filter(F.col(node).isNotNull()).join(kept, (F.col(node) == F.col(key)) & F.col(quoted(id_col)).eqNullSafe(F.col(kept_id)), "left_semi")
+    return stay.dropDuplicates([id_col, node]).drop(node).unionByName(bare)

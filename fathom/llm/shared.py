@@ -27,14 +27,33 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh folder path under spark.checkpoint.dir; only where that is unset (tests), under a local temporary folder."""
+    """A fresh folder path under spark.checkpoint.dir. Only where that is unset and the master is this machine (tests), under a local temporary folder; on a cluster such
+    a folder would be each executor's own, so there it is an error."""
     small_batches(spark)
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = f"file://{tempfile.gettempdir()}/fathom-shared"
     return f"{root.rstrip('/')}/fathom-{uuid.uuid4().hex}"
 
 
+def quoted(column: str) -> str:
+    """A column's name as it is, dots and ticks included."""
+    return "`" + column.replace("`", "``") + "`"
+
+
+def unused(columns: list[str], *names: str) -> list[str]:
+    """Names for columns of one's own, lengthened until no given column has them."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Rows that a file of a small table may have.
 FILE_ROWS = 100_000
 
