@@ -21,7 +21,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.shared import small_batches
+from fathom.llm.shared import map_rows, quoted, small_batches
 
 SYMBOLS = b"#*$%&|<>"
 
@@ -107,7 +107,7 @@ _TYPES = pa.schema([(k, {"long": pa.int64(), "boolean": pa.bool_(), "double": pa
 def quality(documents: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its id, the counts, and whether the bands keep it."""
     small_batches(documents.sparkSession)
-    rows = documents.select(F.col(id_col), F.col(text_col).alias("__text"))
+    rows = documents.select(F.col(quoted(id_col)), F.col(quoted(text_col)).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=bands.level)
@@ -115,17 +115,18 @@ def quality(documents: DataFrame, bands: Bands = Bands(), id_col: str = "doc_id"
             found = pa.RecordBatch.from_pylist([judge(x.as_py(), bands, press) for x in batch.column(1)], schema=_TYPES)
             yield pa.RecordBatch.from_arrays([batch.column(0), *found.columns], names=[id_col, *_TYPES.names])
 
-    return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, {_FIELDS}")
+    return rows.mapInArrow(run, f"{quoted(id_col)} {dict(rows.dtypes)[id_col]}, {_FIELDS}")
 
 
 def filter_documents(documents: DataFrame, bands: Bands = Bands(), text_col: str = "text") -> DataFrame:
     """The documents that the rules keep, all columns as they were."""
     small_batches(documents.sparkSession)
+    at = documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=bands.level)
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col))
+            texts = batch.column(at)
             yield batch.filter(pa.array([judge(x.as_py(), bands, press)["kept"] for x in texts], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_rows(documents, run)

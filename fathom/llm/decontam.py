@@ -26,7 +26,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.shared import small_batches
+from fathom.llm.shared import map_rows, quoted, small_batches
 
 #: Bytes to the bytes of words: ASCII letters lower-cased, digits and everything from 0x80 up as they are, the rest to spaces.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -110,8 +110,8 @@ def build_index(documents: DataFrame, benchmark: DataFrame, rule: Rule = Rule(),
     """One broadcast index a block."""
     small_batches(documents.sparkSession)
     sc = documents.sparkSession.sparkContext
-    texts = documents.select(F.col(text_col).alias("__text"))
-    items = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    texts = documents.select(F.col(quoted(text_col)).alias("__text"))
+    items = benchmark.select(F.coalesce(F.col(quoted(item_col)).cast("string"), F.lit("")).alias("item"), F.coalesce(F.col(quoted(item_text_col)), F.lit("")).alias("text"))
     found = []
     for block in _blocks(items, rule):
         vocabulary = sc.broadcast({w for _, words in block for w in words})
@@ -136,7 +136,7 @@ def _judge(texts: list[str | None], index: list[Broadcast], rule: Rule) -> list[
 def contamination(documents: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: id, n_words, n_hit (words inside any occurrence of a window), items (sorted ids that occur), contaminated."""
     index = build_index(documents, benchmark, rule, text_col)
-    rows = documents.select(F.col(id_col), F.col(text_col).alias("__text"))
+    rows = documents.select(F.col(quoted(id_col)), F.col(quoted(text_col)).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,19 +144,19 @@ def contamination(documents: DataFrame, benchmark: DataFrame, rule: Rule = Rule(
             n, hit, items, bad = ([x[k] for x in found] for k in range(4))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(items, pa.list_(pa.string())), pa.array(bad, pa.bool_())], names=[id_col, "n_words", "n_hit", "items", "contaminated"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, n_words long, n_hit long, items array<string>, contaminated boolean")
+    return rows.mapInArrow(run, f"{quoted(id_col)} {dict(rows.dtypes)[id_col]}, n_words long, n_hit long, items array<string>, contaminated boolean")
 
 
 def filter_documents(documents: DataFrame, benchmark: DataFrame, rule: Rule = Rule(), text_col: str = "text") -> DataFrame:
     """The documents that are not contaminated, all columns as they were."""
-    index = build_index(documents, benchmark, rule, text_col)
+    index, at = build_index(documents, benchmark, rule, text_col), documents.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            texts = batch.column(at).to_pylist()
             yield batch.filter(pa.array([not x[3] for x in _judge(texts, index, rule)], pa.bool_()))
 
-    return documents.mapInArrow(run, documents.schema)
+    return map_rows(documents, run)
 
 
 def item_digest(items: list[str]) -> str:

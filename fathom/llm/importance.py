@@ -74,7 +74,8 @@ def fit(documents: DataFrame, labels: DataFrame, how: Resampling = Resampling())
                 if i in ids.value:
                     counts[1] += np.bincount(found, minlength=buckets)
                 np.add.at(counts[0], found, 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(buckets)), pa.array(counts[0]), pa.array(counts[1])], names=["b", "raw", "target"])
+        some = np.flatnonzero(counts[0])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(counts[0, some]), pa.array(counts[1, some])], names=["b", "raw", "target"])
 
     rows = documents.select(id_text(F.col("doc_id")), "text").mapInArrow(run, "b long, raw long, target long").groupBy("b").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")).collect()
     raw, target = np.ones(buckets), np.ones(buckets)

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from fathom.llm import exchange
 from fathom.llm.components import components
 from fathom.llm.hashing import shingle_sets
-from fathom.llm.shared import materialise, quoted, shared_dir, unused
+from fathom.llm.shared import map_rows, materialise, quoted, shared_dir, unused
 
 
 @dataclass(frozen=True)
@@ -244,10 +244,10 @@ def keep_one(documents: DataFrame, how: Join = Join(), id_col: str = "doc_id", t
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column(node, pa.array(map(_class_key, sets_of(batch.column(at).to_pylist(), width)), pa.binary()))
+            yield batch.append_column("more", pa.array(map(_class_key, sets_of(batch.column(at).to_pylist(), width)), pa.binary()))
 
-    schema = ", ".join(f"{quoted(f.name)} {f.dataType.simpleString()}" for f in documents.schema.fields)
-    rows = documents.mapInArrow(keyed, f"{schema}, {node} binary")
-    bare = rows.filter(F.col(node).isNull()).drop(node)
+    rows = map_rows(documents, keyed, node)
+    own = [F.col(quoted(c)) for c in documents.columns]
+    bare = rows.filter(F.col(node).isNull()).select(own)
     stay = rows.filter(F.col(node).isNotNull()).join(kept, (F.col(node) == F.col(key)) & F.col(quoted(id_col)).eqNullSafe(F.col(kept_id)), "left_semi")
-    return stay.dropDuplicates([id_col, node]).drop(node).unionByName(bare)
+    return stay.dropDuplicates([id_col, node]).select(own).unionAll(bare)

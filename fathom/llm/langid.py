@@ -4,9 +4,9 @@ A known word scores by its log frequency in each language. An unseen word, frame
 that is known (from `longest` down to 1), each scored by its log frequency among n-grams of its length in that language; its score is the mean of these.
 A document's score for a language is the mean over its words, and the posterior is the softmax of that mean times min(words, trust).
 
-Learning is on a bounded sample: about `sample` documents a language, those with the least hash of their id, among the documents that `train` selects. Of the words
-the `max_words` most frequent are kept, of the n-grams `max_grams`, so the model that is sent to the tasks has a fixed bound. Frequencies are counted
-by partial sums in each task and one exchange of (language, word) rows. Prediction is a map: no shuffle, one text at a time, whole texts.
+Learning is on a bounded sample: about `sample` documents a language, those with the least hash of their id, among the documents that `train` selects. Every word and
+n-gram of the sample is kept, so the model that is sent to the tasks is bounded by the sample alone. Frequencies are counted by partial sums in each task and one exchange
+of (language, word) rows. Prediction is a map: no shuffle, one text at a time, whole texts.
 
 lang_pred is `und` with score 0 where the text is null or has no letter, or where nothing could be learned. Rows with null text or null language teach nothing. Ties
 go to the language that sorts first. Repeated rows get equal results. An empty table gives no row. Only id, text and (in learning) language columns are read.
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm.shared import id_text, small_batches
+from fathom.llm.shared import id_text, quoted, small_batches
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
@@ -33,8 +33,6 @@ _LETTERS = re.compile(r"[^\W\d_]+")
 class Backoff:
     longest: int = 4
     sample: int = 3_000
-    max_words: int = 100_000
-    max_grams: int = 100_000
     add: float = 0.5
     trust: int = 20
     seed: int = 29
@@ -104,7 +102,7 @@ def held_out(doc_id: Column, modulus: int = 3, remainder: int = 1) -> Column:
 
 def learn(documents: DataFrame, how: Backoff = Backoff(), id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
     """documents: those to learn from."""
-    rows = documents.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter("lang is not null and text is not null")
+    rows = documents.select(F.col(quoted(id_col)).alias("i"), F.col(quoted(text_col)).alias("text"), F.col(quoted(lang_col)).alias("lang")).filter("lang is not null and text is not null")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     unit = F.shiftrightunsigned(F.xxhash64(id_text(F.col("i")), F.lit(how.seed)), 11).cast("double") / float(1 << 53)
     share = F.lit(1.0)
@@ -128,22 +126,23 @@ def learn(documents: DataFrame, how: Backoff = Backoff(), id_col: str = "doc_id"
         yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int32()), pa.array([k[2] for k in keys], pa.string()), pa.array(out.values(), pa.int64())], names=["lang", "kind", "key", "n"])
 
     counted = sample.mapInArrow(run, "lang string, kind int, key string, n long").groupBy("kind", "key", "lang").agg(F.sum("n").alias("n"))
+    found = counted.toArrow().combine_chunks()  # columns, not rows of Python; its size follows from the sample's
     languages = sorted(counts)
-    per_key = counted.groupBy("kind", "key").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
+    spoken = found["lang"].combine_chunks().dictionary_encode()
+    place = {lang: k for k, lang in enumerate(languages)}
+    number = np.array([place[x] for x in spoken.dictionary.to_pylist()], int)[spoken.indices.to_numpy()]
+    kinds, times = found["kind"].to_numpy(), found["n"].to_numpy()
     tables = []
-    for of, most in (("kind = 0", how.max_words), ("kind > 0", how.max_grams)):
-        kept = per_key.filter(of).orderBy(F.desc("total"), "kind", "key").limit(most).collect()
-        number = {lang: k for k, lang in enumerate(languages)}
-        n = np.zeros((len(kept), len(languages)))
-        for i, r in enumerate(kept):
-            for x in r.by:
-                n[i, number[x.lang]] = x.n
-        kinds = np.array([r.kind for r in kept], int)
+    for of in (kinds == 0, kinds > 0):
+        keys = found["key"].filter(pa.array(of)).combine_chunks().dictionary_encode()
+        n, kind = np.zeros((len(keys.dictionary), len(languages))), np.zeros(len(keys.dictionary), int)
+        np.add.at(n, (keys.indices.to_numpy(), number[of]), times[of])
+        kind[keys.indices.to_numpy()] = kinds[of]
         rows_of = np.zeros_like(n)
-        for kind in set(kinds.tolist()):
-            at = kinds == kind
+        for k in set(kind.tolist()):
+            at = kind == k
             rows_of[at] = np.log((n[at] + how.add) / (n[at].sum(axis=0) + how.add * at.sum()))
-        tables += [{r.key: i for i, r in enumerate(kept)}, rows_of]
+        tables += [{key: i for i, key in enumerate(keys.dictionary.to_pylist())}, rows_of]
     return Model(languages, *tables, how.longest, how.trust)
 
 
@@ -151,7 +150,7 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
     """One row per document: id, lang_pred, score."""
     small_batches(documents.sparkSession)
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    rows = documents.select(F.col(id_col), F.col(text_col).alias("__text"))
+    rows = documents.select(F.col(quoted(id_col)), F.col(quoted(text_col)).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo: dict[str, np.ndarray] = {}
@@ -159,4 +158,4 @@ def identify(documents: DataFrame, model: Model, id_col: str = "doc_id", text_co
             found = [sent.value.predict(x.as_py(), memo) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=[id_col, "lang_pred", "score"])
 
-    return rows.mapInArrow(run, f"`{id_col}` {dict(rows.dtypes)[id_col]}, lang_pred string, score double")
+    return rows.mapInArrow(run, f"{quoted(id_col)} {dict(rows.dtypes)[id_col]}, lang_pred string, score double")

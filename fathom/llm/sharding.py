@@ -5,7 +5,8 @@ shard of every slot. Rebalancing edits the map: whole slots move, as few as are
 anew. The law is `bytes`: shards hold nearly equal bytes.
 
 Only the slot table (n_slots rows, a fixed number) reaches the driver. A row's place within its shard is the number of rows in the shard's
-slots before its own plus its place within its slot, so no shard is ever sorted in one task; rows of one id stay in one slot.
+slots before its own, plus those of the parts before its own in its slot (`parts` of them, by a hash of the whole key, so that a slot that one id fills is several
+tasks), plus its place within its part. So no shard and no slot is sorted in one task; rows of one id stay in one slot.
 
 A null text has size 1 and the CRC of the empty text; a null id is hashed as the empty text. Repeated rows get places of their own. An empty table
 gives no rows and a map with every slot placed. Extra columns pass through; they are replaced where they are named like a result.
@@ -19,7 +20,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from fathom.llm.shared import id_text, materialise, shared_dir, text_bytes
+from fathom.llm.shared import id_text, materialise, quoted, shared_dir, text_bytes, unused
 
 N_SLOTS = 4096
 
@@ -81,34 +82,41 @@ class SlotMap:
 
 
 def slot_of(df: DataFrame, id_col: str, n_slots: int = N_SLOTS):
-    return F.pmod(F.xxhash64(id_text(F.col(id_col))), F.lit(n_slots)).cast("int")
+    return F.pmod(F.xxhash64(id_text(F.col(quoted(id_col)))), F.lit(n_slots)).cast("int")
 
 
-def slot_table(rows: DataFrame, n_slots: int = N_SLOTS) -> tuple[list[int], list[int]]:
-    """Bytes and rows of every slot, from columns virtual_slot and size."""
+def slot_table(rows: DataFrame, n_slots: int, number: str) -> tuple[list[int], list[int]]:
+    """Bytes and rows of every slot, from columns virtual_slot, size and a number of rows."""
     sizes, counts = [0] * n_slots, [0] * n_slots
-    for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.count(F.lit(1)).alias("n")).collect():
+    for r in rows.groupBy("virtual_slot").agg(F.sum("size").alias("b"), F.sum(number).alias("n")).collect():
         sizes[r.virtual_slot], counts[r.virtual_slot] = r.b, r.n
     return sizes, counts
 
 
-def shard(documents: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, map_path: str | None = None) -> DataFrame:
+def shard(documents: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, map_path: str | None = None, parts: int = 16) -> DataFrame:
     """The columns `keep` (default: all) with size, text_crc32, virtual_slot, map_version, shard and slot, the row's place in its shard from 0."""
-    spark, text = documents.sparkSession, F.col(text_col)
+    spark, text = documents.sparkSession, F.col(quoted(text_col))
     made = {"size": text_bytes(text) + 1, "text_crc32": F.crc32(F.coalesce(text, F.lit("")).cast("binary")), "virtual_slot": slot_of(documents, id_col, n_slots)}
-    kept = [F.col(f"`{c}`") for c in (documents.columns if keep is None else keep) if c not in {*made, "map_version", "shard", "slot"}]
-    rows = documents.select(*kept, *(v.alias(k) for k, v in made.items()))
+    kept = [c for c in (documents.columns if keep is None else keep) if c not in {*made, "map_version", "shard", "slot"}]
+    part, place, start, at_slot, at_part = unused([*kept, *made], "part", "place", "start", "at_slot", "at_part")
+    ident = id_text(F.col(quoted(id_col)))
+    rows = documents.select(*[F.col(quoted(c)) for c in kept], *(v.alias(k) for k, v in made.items()), ident.alias(place))
+    rows = rows.withColumn(part, F.pmod(F.xxhash64(place, "text_crc32", "size", F.lit(5)), F.lit(parts)).cast("int"))
     where = shared_dir(spark)
     if keep is not None:
         rows = materialise(rows, f"{where}/sized")
-    sizes, counts = slot_table(rows, n_slots)
+    counts = materialise(rows.groupBy("virtual_slot", part).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), f"{where}/parts", n_slots * parts)
+    sizes, per_slot = slot_table(counts, n_slots, "n")
     slots = SlotMap.initial(sizes, n_shards)
     slots.store(spark, map_path or f"{where}/slot_map")
     before, seen = [0] * n_slots, [0] * n_shards
     for s, k in enumerate(slots.shard):
         before[s] = seen[k]
-        seen[k] += counts[s]
-    placed = spark.createDataFrame([(s, k, before[s], slots.version) for s, k in enumerate(slots.shard)], "virtual_slot int, shard int, __before long, map_version int")
-    within = Window.partitionBy("virtual_slot").orderBy(F.col(f"`{id_col}`"), "text_crc32", "size")
-    numbered = rows.withColumn("__place", F.row_number().over(within)).join(F.broadcast(placed), "virtual_slot")
-    return numbered.withColumn("slot", (F.col("__before") + F.col("__place") - 1).cast("long")).drop("__before", "__place")
+        seen[k] += per_slot[s]
+    placed = spark.createDataFrame([(s, k, before[s], slots.version) for s, k in enumerate(slots.shard)], "virtual_slot int, shard int, before long, map_version int")
+    earlier = F.coalesce(F.sum("n").over(Window.partitionBy("virtual_slot").orderBy(part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = counts.withColumn("earlier", earlier).join(F.broadcast(placed), "virtual_slot")  # n_slots rows, and at most n_slots * parts
+    starts = starts.select(F.col("virtual_slot").alias(at_slot), F.col(part).alias(at_part), (F.col("before") + F.col("earlier")).alias(start), "shard", "map_version")
+    within = Window.partitionBy("virtual_slot", part).orderBy(place, "text_crc32", "size")
+    numbered = rows.withColumn(place, F.row_number().over(within)).join(F.broadcast(starts), (F.col("virtual_slot") == F.col(at_slot)) & (F.col(part) == F.col(at_part)))
+    return numbered.withColumn("slot", (F.col(start) + F.col(place) - 1).cast("long")).drop(start, place, part, at_slot, at_part)

@@ -5,9 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 #: The white space of every word rule here: space and \t \n \v \f \r.
 WORD_RE = "[^\\x20\\x09-\\x0D]+"
@@ -43,6 +46,13 @@ def quoted(column: str) -> str:
     return "`" + column.replace("`", "``") + "`"
 
 
+def map_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], more: str | None = None) -> DataFrame:
+    """mapInArrow over whole rows, whatever their columns are called: run sees columns c0, c1, ... in df's order and may append one binary column, named `more`."""
+    plain = df.toDF(*[f"c{k}" for k in range(len(df.columns))])
+    schema = StructType(plain.schema.fields + ([StructField("more", BinaryType())] if more else []))
+    return plain.mapInArrow(run, schema).toDF(*df.columns, *([more] if more else []))
+
+
 def unused(columns: list[str], *names: str) -> list[str]:
     """Names for columns of one's own, lengthened until no given column has them."""
     taken, out = {c.lower() for c in columns}, []
