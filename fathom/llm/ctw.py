@@ -25,12 +25,11 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fathom.llm import exchange
+from fathom.llm import exchange, hashing
 from fathom.llm.shared import id_text, materialise, quoted, shared_dir, text_bytes
 
 _WORD, _GRAM = 0, 1
@@ -213,8 +212,14 @@ def is_held_out(doc_id: str, modulus: int) -> bool:
     return zlib.crc32(doc_id.encode()) % modulus == 0
 
 
-def _crc(words: pa.Array) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words.to_pylist()), np.uint64, len(words))
+def _word_array(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """The lower-cased words of all texts, and how many each has."""
+    data = b" ".join(texts).lower()
+    starts, ends = hashing.words(data)
+    letters = np.frombuffer(data, np.uint8)
+    offsets = np.r_[0, np.cumsum(ends - starts)].astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(letters[~hashing.SPACE[letters]])])
+    return words, np.diff(np.searchsorted(starts, np.r_[0, np.cumsum([len(t) + 1 for t in texts])]))
 
 
 class _Chunk:
@@ -237,35 +242,36 @@ class _Chunk:
                 yield start, texts
                 start, size, texts = i + 1, 0, []
 
-    @staticmethod
-    def words(texts: list[bytes]) -> tuple[pa.DictionaryArray, list[int]]:
-        """The words of all texts, and how many each has."""
-        each = [t.lower().split() for t in texts]
-        return pa.array([w for ws in each for w in ws], pa.binary()).dictionary_encode(), [len(ws) for ws in each]
-
-    def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct grams, sorted, and their counts in training documents."""
-        parts = []
-        for start, texts in self.batches():
-            each = [gram_codes(t, self.tree.depth) for t in texts]
-            inverse, keys = pd.factorize(np.concatenate(each))
-            weights = np.repeat(~self.held[start : start + len(texts)], [len(e) for e in each])
-            parts.append((keys, np.bincount(inverse, weights=weights, minlength=len(keys))))
-        keys, inverse = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        return keys, np.bincount(inverse, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.uint64)
-
-    def vocabulary(self, buckets: int) -> tuple[pa.Array, np.ndarray, list[tuple[int, int, int]]]:
-        """Distinct words in an order that follows from them alone, their counts in training documents, and (bucket, from, to)."""
-        words, counts = [], []
-        for start, texts in self.batches():
-            found, sizes = self.words(texts)
-            words.append(found.dictionary)
-            weights = np.repeat(~self.held[start : start + len(texts)], sizes)
-            counts.append(np.bincount(found.indices.to_numpy(), weights=weights, minlength=len(found.dictionary)))
-        every = pa.concat_arrays(words).dictionary_encode()
-        total = np.bincount(every.indices.to_numpy(), weights=np.concatenate(counts), minlength=len(every.dictionary))
-        order, crc = exchange.by_word(every.dictionary, _crc(every.dictionary))
-        return every.dictionary.take(pa.array(order)), total[order].astype(np.uint64), exchange.split_buckets(crc[order], 32, buckets)
+    def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct grams, sorted; their counts in training documents; the place of every gram of the chunk among them, and how many each text has."""
+        codes, sizes = [], []
+        for _, texts in self.batches():
+            codes += [gram_codes(t, self.tree.depth) for t in texts]
+            sizes += [len(t) + 1 for t in texts]
+        inverse, keys = pd.factorize(np.concatenate(codes))
+        order = np.argsort(keys)
+        place = np.empty(len(keys), np.int32)
+        place[order] = np.arange(len(keys), dtype=np.int32)
+        inverse, sizes = place[inverse], np.array(sizes)
+        return keys[order], np.bincount(inverse, weights=np.repeat(~self.held, sizes), minlength=len(keys)).astype(np.uint64), inverse, sizes
+
+    def vocabulary(self, buckets: int) -> tuple[pa.Array, np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
+        """Distinct words in an order that follows from them alone; their counts in training documents; (bucket, from, to); and places and numbers as for grams."""
+        parts, sizes = [], []
+        for _, texts in self.batches():
+            words, n = _word_array(texts)
+            parts.append(words.dictionary_encode())
+            sizes.append(n)
+        every = pa.concat_arrays([p.dictionary for p in parts]).dictionary_encode()
+        known, index = every.dictionary, np.split(every.indices.to_numpy(), np.cumsum([len(p.dictionary) for p in parts])[:-1])
+        inverse, sizes = np.concatenate([i[p.indices.to_numpy()] for i, p in zip(index, parts, strict=True)]), np.concatenate(sizes)
+        total = np.bincount(inverse, weights=np.repeat(~self.held, sizes), minlength=len(known))
+        plain = known.to_pylist()
+        hashes = np.concatenate([hashing.word_hashes(b" ".join(plain[i : i + 4096])) for i in range(0, len(plain), 4096)] or [np.zeros(0, np.uint64)]) >> np.uint64(32)
+        order = exchange.by_word(known, hashes)
+        place = np.empty(len(order), np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        return known.take(pa.array(order)), total[order].astype(np.uint64), exchange.split_buckets(hashes[order], 32, buckets), place[inverse], sizes
 
 
 def _count(chunks: DataFrame, tree: Tree, words: int, grams: int) -> DataFrame:
@@ -273,9 +279,9 @@ def _count(chunks: DataFrame, tree: Tree, words: int, grams: int) -> DataFrame:
 
     def run(chunk: pa.Table) -> pa.Table:
         of, number = _Chunk(chunk, tree), chunk["chunk"][0].as_py()
-        keys, counts = of.grams()
+        keys, counts, *_ = of.grams()
         first = exchange.request_rows(number, keys, counts, exchange.split_buckets(keys, 8 * (tree.depth + 1), grams))
-        found, counts, parts = of.vocabulary(words)
+        found, counts, parts, *_ = of.vocabulary(words)
         press = zstandard.ZstdCompressor(level=1)
         second = pa.table({
             "bucket": pa.array([p[0] for p in parts], pa.int32()), "chunk": pa.array([number] * len(parts), pa.int64()),
@@ -387,28 +393,19 @@ def score(documents: DataFrame, tree: Tree = Tree(), id_col: str = "doc_id", tex
 
     def use(chunk: pa.Table, found: pa.Table) -> pa.Table:
         made = _Chunk(chunk, tree)
-        keys, known = made.grams()[0], made.vocabulary(1)[0]
+        (*_, gram, n_grams), (*_, word, n_words) = made.grams(), made.vocabulary(1)
         kinds = found["kind"].to_numpy()
         replies = {k: exchange.in_order(found.filter(pa.array(kinds == k))) for k in (_WORD, _GRAM)}
         totals = np.concatenate([exchange.unpack(a) for a in replies[_WORD]]).astype(float) if replies[_WORD] else np.zeros(0)
         logs = np.concatenate([np.frombuffer(a, np.float64) for a in replies[_GRAM]])
-        out: dict[str, list[np.ndarray]] = {c.split()[0]: [] for c in _SCORES.split(", ")}
-
-        def summed(values: np.ndarray, sizes: list[int]) -> np.ndarray:
+        def summed(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
             """Sums over neighbours, one for each text; a text may have none."""
-            return np.add.reduceat(np.append(values, 0.0), np.cumsum([0, *sizes[:-1]])) * (np.array(sizes) > 0)
-
-        for start, texts in made.batches():
-            codes = [gram_codes(t, tree.depth) for t in texts]
-            inverse, distinct_codes = pd.factorize(np.concatenate(codes))
-            points = summed(logs[np.searchsorted(keys, distinct_codes)][inverse], [len(c) for c in codes]) / log10
-            words, sizes = made.words(texts)
-            times = totals[pc.index_in(words.dictionary, value_set=known).to_numpy()][words.indices.to_numpy()] if len(words) else np.zeros(0)
-            n_bytes = np.array([len(t) for t in texts], np.int64)
-            columns = (made.held[start : start + len(texts)], np.array(sizes) + 1, summed(times > 0, sizes).astype(np.int64) + (ends > 0), np.full(len(texts), tokens), summed(np.log10(times + 0.1) - norm, sizes) + alone, points, n_bytes, -points * math.log2(10) / (n_bytes + 1))
-            for name, values in zip(out, columns, strict=True):
-                out[name].append(values)
+            return np.add.reduceat(np.append(values, 0.0), np.cumsum(np.r_[0, sizes[:-1]])) * (sizes > 0)
+
+        points, times = summed(logs[gram], n_grams) / log10, totals[word]
+        columns = (made.held, n_words + 1, summed(times > 0, n_words).astype(np.int64) + (ends > 0), np.full(len(n_words), tokens), summed(np.log10(times + 0.1) - norm, n_words) + alone, points, n_grams - 1, -points * math.log2(10) / n_grams)
         kinds_of = {"boolean": pa.bool_(), "long": pa.int64(), "double": pa.float64()}
-        return pa.table({"doc_id": chunk["doc_id"]} | {k: pa.array(np.concatenate(out[k]), kinds_of[t]) for k, t in (c.split() for c in _SCORES.split(", "))})
+        names = [c.split() for c in _SCORES.split(", ")]
+        return pa.table({"doc_id": chunk["doc_id"]} | {k: pa.array(values, kinds_of[t]) for (k, t), values in zip(names, columns, strict=True)})
 
     return chunks.groupBy("chunk").cogroup(replies.groupBy("chunk")).applyInArrow(use, f"doc_id {kind_of_id}, {_SCORES}")

@@ -102,15 +102,15 @@ def ranked(keys: np.ndarray, more: np.ndarray | None = None) -> tuple[np.ndarray
     return order, np.r_[True, ~same][: len(keys)]
 
 
-def by_word(words: pa.Array, crc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The order of distinct words by their CRC and then by themselves; and the CRCs."""
-    order = np.argsort(crc, kind="stable")
-    one = crc[order]
+def by_word(words: pa.Array, hashes: np.ndarray) -> np.ndarray:
+    """The order of distinct words by their hashes and then by themselves."""
+    order = np.argsort(hashes, kind="stable")
+    one = hashes[order]
     same = np.flatnonzero(one[1:] == one[:-1])
-    for i in same[np.r_[True, np.diff(same) > 1][: len(same)]].tolist():  # where a run of equal CRCs starts
+    for i in same[np.r_[True, np.diff(same) > 1][: len(same)]].tolist():  # where a run of equal hashes starts
         j = i + 1 + int(np.argmax(np.r_[one[i + 1 :] != one[i], True]))
         order[i:j] = sorted(order[i:j].tolist(), key=lambda k: words[k].as_py())
-    return order, crc
+    return order
 
 
 def merged(bucket: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
