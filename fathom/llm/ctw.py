@@ -230,6 +230,7 @@ class _Chunk:
         self.ids = chunk["id_text"].to_pylist()
         self.texts = chunk["text"]
         self.held = np.array([is_held_out(i, tree.modulus) for i in self.ids], bool)
+        self.sizes = chunk["n"].to_pylist()
 
     def batches(self):
         start = size = 0
@@ -244,16 +245,19 @@ class _Chunk:
 
     def grams(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Distinct grams, sorted; their counts in training documents; the place of every gram of the chunk among them, and how many each text has."""
-        codes, sizes = [], []
+        sizes = np.array([n + 1 for n in self.sizes])
+        codes, at = np.empty(int(sizes.sum()), np.uint64), 0
         for _, texts in self.batches():
-            codes += [gram_codes(t, self.tree.depth) for t in texts]
-            sizes += [len(t) + 1 for t in texts]
-        inverse, keys = pd.factorize(np.concatenate(codes))
+            for t in texts:
+                codes[at : at + len(t) + 1] = gram_codes(t, self.tree.depth)
+                at += len(t) + 1
+        inverse, keys = pd.factorize(codes)
+        del codes
         order = np.argsort(keys)
         place = np.empty(len(keys), np.int32)
         place[order] = np.arange(len(keys), dtype=np.int32)
-        inverse, sizes = place[inverse], np.array(sizes)
-        return keys[order], np.bincount(inverse, weights=np.repeat(~self.held, sizes), minlength=len(keys)).astype(np.uint64), inverse, sizes
+        inverse = place[inverse]
+        return keys[order], np.bincount(inverse[np.repeat(~self.held, sizes)], minlength=len(keys)).astype(np.uint64), inverse, sizes
 
     def vocabulary(self, buckets: int) -> tuple[pa.Array, np.ndarray, list[tuple[int, int, int]], np.ndarray, np.ndarray]:
         """Distinct words in an order that follows from them alone; their counts in training documents; (bucket, from, to); and places and numbers as for grams."""
@@ -373,11 +377,12 @@ def score(documents: DataFrame, tree: Tree = Tree(), id_col: str = "doc_id", tex
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
-            texts = pa.array([press.compress((x.as_py() or "").encode("utf-8", "surrogatepass")) for x in batch.column(2)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), texts, batch.column(3)], names=["doc_id", "id_text", "text", "chunk"])
+            texts = [(x.as_py() or "").encode("utf-8", "surrogatepass") for x in batch.column(2)]
+            columns = [batch.column(0), batch.column(1), pa.array(map(press.compress, texts), pa.binary()), pa.array(map(len, texts), pa.int64()), batch.column(3)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "id_text", "text", "n", "chunk"])
 
     dealt = rows.withColumn("chunk", F.pmod(F.xxhash64("id_text", "text"), F.lit(n_chunks)))
-    chunks = dealt.mapInArrow(packed, f"doc_id {kind_of_id}, id_text string, text binary, chunk long")
+    chunks = dealt.mapInArrow(packed, f"doc_id {kind_of_id}, id_text string, text binary, n long, chunk long")
     # Rows sent: at most one for 4 bytes; the buckets' number follows from that bound.
     buckets = exchange.bucket_count(total // 20)
     requests = materialise(_count(chunks, tree, min(buckets, 1 << 31), min(buckets, 1 << 8 * _near(tree.depth))), f"{path}/requests")
