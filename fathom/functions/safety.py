@@ -95,6 +95,30 @@ def redact_secrets(text: Column) -> Column:
     return run(text)
 
 
+# Marks that set off a model's turns, hidden text and encoded text, and how sure they are.
+STRUCTURES = [
+    ("chatml_start", r"(?i)<\|im_start\|>", "definite"),
+    ("chatml_end", r"(?i)<\|im_end\|>", "definite"),
+    ("inst_open", r"(?i)\[INST\]", "definite"),
+    ("inst_close", r"(?i)\[/INST\]", "definite"),
+    ("sys", r"(?i)<<SYS>>", "definite"),
+    ("end_of_sequence", r"(?im)^(?:(?!<s[^>]*>).)*</s>", "probable"),
+    ("end_of_text", r"(?i)<\|endoftext\|>", "definite"),
+    ("system_token", r"(?i)<\|system\|>", "definite"),
+    ("wrapper_close", r"(?i)</(?:hook-rule|file-context|soul|previous-session|session|compact-fallback|security-warning|commit-format|pre-commit-review)>", "definite"),
+    ("system_tag", r"(?i)</?system>", "definite"),
+    ("assistant_tag", r"(?i)</?assistant>", "definite"),
+    ("user_tag", r"(?i)</?user>", "probable"),
+    ("bracketed_system", r"(?i)\[system\]", "probable"),
+    ("bracketed_assistant", r"(?i)\[assistant\]", "probable"),
+    ("invisible_characters", "[\u200B\u200C\u200D\uFEFF\u00AD\u2060]{3,}", "suspicious"),
+    ("direction_marks", "[\u202A-\u202E\u2066-\u2069]{2,}", "suspicious"),
+    ("entities", r"(?i)&(?:lt|gt|amp|quot);.*(?:system|assistant|ignore|instruction)", "probable"),
+    ("hidden_element", r"(?i)<(?:span|div|p)\s+[^>]*(?:display\s*:\s*none|visibility\s*:\s*hidden|hidden)[^>]*>", "probable"),
+    ("comment", r"(?i)<!--\s*(?:AI|AGENT|LLM|ASSISTANT|IGNORE|INSTRUCTION|SYSTEM|OVERRIDE)", "probable"),
+    ("decoded_base64", r"(?i)(?:base64|atob|decode)\s*[:(]\s*['\"]?[A-Za-z0-9+/]{20,}={0,2}", "probable"),
+]
+
 # Phrases that try to steer a model, and how sure they are.
 INJECTIONS = [
     ("ignore_previous", r"(?i)ignore\s+(?:all\s+)?(?:previous|prior|above|earlier)\s+(?:instructions|rules|prompts|directives)", "definite"),
@@ -114,25 +138,30 @@ INJECTIONS = [
     ("do_not_reveal", r"(?i)(?:do\s+not|don'?t)\s+(?:mention|reveal|disclose|tell|say)\s+(?:this|that|the|any)", "probable"),
     ("zh_ignore", "忽略.{0,5}(?:之前|以上|先前|前面).{0,5}(?:指令|规则|指示|提示|命令)", "definite"),
     ("zh_you_are", "你现在是", "probable"),
+    ("zh_from_now_on", "从现在开始你", "probable"),
     ("zh_new", "新的指令", "definite"),
+    ("zh_system_prompt", "系统提示", "probable"),
     ("ru_ignore", r"(?iu)игнорир\S*.{0,10}(?:предыдущ|прошл|выше|ранее).{0,10}(?:инструкц|правил|указан|команд)", "definite"),
     ("ru_you_are", r"(?iu)ты\s+теперь\s", "probable"),
     ("ru_new", r"(?iu)новые\s+инструкции", "definite"),
+    ("ru_system_prompt", r"(?iu)системн\S+\s+промпт", "probable"),
+    ("ru_forget", r"(?iu)забудь\s+(?:все|всё|предыдущ|прошл)", "definite"),
+    ("ar_ignore", r"تجاهل.{0,10}(?:التعليمات|الأوامر|القواعد)\s*(?:السابقة|أعلاه)", "definite"),
+    ("ar_you_are", r"أنت\s+الآن", "probable"),
+    ("ar_new", r"تعليمات\s+جديدة", "definite"),
     ("es_ignore", r"(?i)ignora\w*\s+(?:las?\s+)?(?:instrucciones|reglas|indicaciones)\s+(?:anteriores|previas)", "definite"),
     ("es_you_are", r"(?i)ahora\s+eres", "probable"),
     ("es_new", r"(?i)nuevas\s+instrucciones", "definite"),
     ("ja_ignore", "以前の(?:指示|ルール|命令)を(?:無視|忘れ)", "definite"),
     ("ko_ignore", "이전.{0,5}(?:지시|규칙|명령).{0,5}(?:무시|잊어)", "definite"),
-    ("delimiter", r"(?i)<\|(?:im_start|im_end|system|endoftext)\|>|\[/?INST\]|<</?SYS>>", "definite"),
-    ("hidden_characters", "[​-‏‪-‮⁠-⁤﻿]", "probable"),
 ]
-_RANK = {"definite": 2, "probable": 1}
+_RANK = {"definite": 3, "probable": 2, "suspicious": 1}
 
 
 def injection(text: Column) -> Column:
     """The strongest finding (the first of equals) as struct<rule, severity>; null if there is none."""
     out = F.lit(None).cast("struct<rule:string,severity:string>")
-    for rule, p, severity in sorted(reversed(INJECTIONS), key=lambda x: _RANK[x[2]]):
+    for rule, p, severity in sorted(reversed(STRUCTURES + INJECTIONS), key=lambda x: _RANK[x[2]]):
         out = F.when(text.rlike(p), F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"))).otherwise(out)
     return out
 

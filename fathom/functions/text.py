@@ -186,6 +186,41 @@ def specificity(text: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
 
 
+# What makes a text clear or unclear, and by how much.
+CLARITY = {"good_sentences": 0.15, "list": 0.1, "paragraphs": 0.05, "ends_well": 0.1, "shouting": -0.1, "no_spaces": -0.3, "repeated_characters": -0.2}
+SENTENCE_LENGTH = (30, 150)
+
+
+def clarity(text: Column) -> Column:
+    """0 to 1: sentences of middling length, lists and paragraphs raise it, shouting, missing spaces and runs of one character lower it."""
+    gap = r"[ \t\n\r\f\x0B]"
+    sentences = F.size(F.filter(F.split(text, "[.!?]+"), lambda x: x.rlike(r"[^ \t\n\r\f\x0B]")))
+    mean = F.length(text) / F.greatest(sentences, F.lit(1))
+    signs = {
+        "good_sentences": mean.between(*SENTENCE_LENGTH),
+        "list": text.rlike(r"\A[-*•]|\n[-*•]|\n[0-9]+\."),
+        "paragraphs": text.rlike(rf"\n\n|:{gap}*\n"),
+        "ends_well": text.rlike(rf"[.!?]{gap}*\z"),
+        "shouting": F.regexp_count(text, F.lit("[A-Z]{3,}")) > 2,
+        "no_spaces": (F.length(text) > 50) & ~text.contains(" "),
+        "repeated_characters": text.rlike(r"([^\n\r])\1{4,}"),
+    }
+    score = sum((F.when(test, CLARITY[sign]).otherwise(0.0) for sign, test in signs.items()), F.lit(0.5))
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))
+
+
+# Weights of a quality score without a model, and what stands for an unknown factor.
+QUALITY = {"specificity": 0.3, "clarity": 0.3, "relevance": 0.2, "uniqueness": 0.2}
+NEUTRAL = 0.5
+
+
+def heuristic_quality(text: Column, similarity: Column | None = None) -> Column:
+    """Quality without a model; similarity: to the nearest stored text, null if unknown."""
+    unique = F.lit(NEUTRAL) if similarity is None else F.coalesce(1 - similarity, F.lit(NEUTRAL))
+    factors = {"specificity": specificity(text), "clarity": clarity(text), "relevance": F.lit(NEUTRAL), "uniqueness": unique}
+    return sum((QUALITY[k] * v for k, v in factors.items()), F.lit(0.0))
+
+
 def escape_xml(text: Column) -> Column:
     """Control characters dropped, the five XML characters escaped."""
     text = F.regexp_replace(text, r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]", "")

@@ -112,11 +112,11 @@ def personalized_pagerank(vertices: DataFrame, edges: DataFrame, seeds: DataFram
     return _walk(vertices, edges, seeds.crossJoin(F.broadcast(total)).select("id", (F.col("weight") / F.col("total")).alias("home")), alpha, steps, tolerance)
 
 
-def components(edges: DataFrame, steps: int = 60) -> DataFrame:
-    """node, component (least id): labels go to the least neighbour's, and to their label's label, until none moves."""
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (least id): labels go to the least neighbour's, and to their label's label, until none moves, however many rounds that takes."""
     both = cut(undirected(edges))
     label = cut(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component")))
-    for _ in range(steps):
+    while True:
         least = both.join(label, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("m"))
         near = label.join(least, F.col("node") == F.col("u")).select("node", F.least("component", "m").alias("component"))
         jumped = near.join(near.select(F.col("node").alias("r"), F.col("component").alias("up")), F.col("component") == F.col("r"), "left").select("node", F.least("component", "up").alias("component"))

@@ -176,7 +176,7 @@ def survivor_links(spark, d):
 
 @query(
     "index_run",
-    "WITH o AS (SELECT doc_id, doc_id % 4 = 0 AS changed, doc_id % 9 = 0 AS gone, doc_id % 10 = 3 AS new FROM documents WHERE doc_id < 200) SELECT CAST(sum(CASE WHEN NOT gone AND (changed OR new) THEN 1 ELSE 0 END) AS BIGINT) AS indexed, CAST(sum(CASE WHEN NOT gone AND NOT changed AND NOT new THEN 1 ELSE 0 END) AS BIGINT) AS unchanged, CAST(sum(CASE WHEN gone AND NOT new THEN 1 ELSE 0 END) AS BIGINT) AS deleted FROM o",
+    "WITH o AS (SELECT doc_id, doc_id % 4 = 0 AS changed, doc_id % 9 = 0 AS gone, doc_id % 10 = 3 AS new FROM documents) SELECT CAST(sum(CASE WHEN NOT gone AND (changed OR new) THEN 1 ELSE 0 END) AS BIGINT) AS indexed, CAST(sum(CASE WHEN NOT gone AND NOT changed AND NOT new THEN 1 ELSE 0 END) AS BIGINT) AS unchanged, CAST(sum(CASE WHEN gone AND NOT new THEN 1 ELSE 0 END) AS BIGINT) AS deleted FROM o",
 )
 def index_run(spark, d):
     """Of the documents as files every fourth changed, every ninth is gone, every tenth is new."""

@@ -288,7 +288,7 @@ def graph_search(spark, d):
     base = graph.cut(_hybrid(spark, d, 20))
     v = data.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
     seeds = base.filter("query_id = 1 and rank <= 10").select(F.col("doc_id").alias("id"), F.col("score").alias("weight"))
-    walked = graph.personalized_pagerank(v, data.edges(spark, d), seeds, steps=10, tolerance=0).select(F.lit(1).cast("long").alias("query_id"), F.col("id").alias("doc_id"), F.round("rank", 12).alias("score"))
+    walked = graph.personalized_pagerank(v, data.edges(spark, d), seeds).select(F.lit(1).cast("long").alias("query_id"), F.col("id").alias("doc_id"), F.round("rank", 12).alias("score"))
     fused = retrieval.fuse([(base.filter("query_id = 1"), 0.6), (retrieval.top(walked, 20, ["query_id"]), 0.4)])
     return retrieval.top(fused, 10, ["query_id"]).select("query_id", "doc_id", F.round("score", 8).alias("score"))
 

@@ -44,9 +44,9 @@ def boosted_code_tokens(spark, d):
     return p.select(F.explode(T.boosted_code_tokens(F.col("p_name"), F.array("p_brand"), F.substring_index("p_name", " ", 1))).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("classify_query", f"WITH x AS (SELECT conv_id, turn, left(text, 60) AS t FROM conversations), y AS (SELECT conv_id, turn, {sqltext.query_type('t')} AS kind FROM x) SELECT conv_id, turn, kind, CASE kind WHEN 'identifier' THEN 0.3::DOUBLE WHEN 'natural_language' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS alpha FROM y")
+@query("classify_query", f"WITH x AS (SELECT conv_id, turn, text AS t FROM conversations), y AS (SELECT conv_id, turn, {sqltext.query_type('t')} AS kind FROM x) SELECT conv_id, turn, kind, CASE kind WHEN 'identifier' THEN 0.3::DOUBLE WHEN 'natural_language' THEN 0.7::DOUBLE ELSE 0.5::DOUBLE END AS alpha FROM y")
 def classify_query(spark, d):
-    kind = T.query_type(F.substring("text", 1, 60))
+    kind = T.query_type(F.col("text"))
     return _talks(spark, d).select("conv_id", "turn", kind.alias("kind")).withColumn("alpha", T.query_alpha(F.col("kind")))
 
 
@@ -127,7 +127,7 @@ def security_label(spark, d):
 
 @query(
     "label_lattice",
-    """WITH l AS (SELECT doc_id, doc_id % 4 AS level, list_sort(list_distinct([lang, source])) AS c FROM documents WHERE doc_id < 300), p AS (SELECT a.doc_id, a.level AS la, b.level AS lb, a.c AS ca, b.c AS cb FROM l a JOIN l b ON b.doc_id = a.doc_id + 1)
+    """WITH l AS (SELECT doc_id, doc_id % 4 AS level, list_sort(list_distinct([lang, source])) AS c FROM documents), p AS (SELECT a.doc_id, a.level AS la, b.level AS lb, a.c AS ca, b.c AS cb FROM l a JOIN l b ON b.doc_id = a.doc_id + 1)
 SELECT doc_id, CAST(greatest(la, lb) AS INT) AS level, array_to_string(list_sort(list_distinct(list_concat(ca, cb))), ',') AS compartments, la >= lb AND len(list_filter(cb, lambda x: NOT list_contains(ca, x))) = 0 AS dominates FROM p""",
 )
 def label_lattice(spark, d):
