@@ -13,12 +13,12 @@ from fathom.plans import data, sqltext
 from fathom.plans.catalogue import query
 from fathom.sources import readers
 
-QUESTIONS = [(1, "the and attion thoueding"), (2, "which anon the ereea onnthe"), (3, "queeau mentier avec les")]
-_Q = "q(query_id, qt) AS (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in QUESTIONS) + ")"
+_Q = "q(query_id, qt) AS (SELECT doc_id, coalesce(text, '') FROM documents WHERE doc_id % 100 = 0)"
 
 
-def questions(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(QUESTIONS, "query_id long, qt string")
+def questions(spark: SparkSession, d: str) -> DataFrame:
+    """Every hundredth document is a question, its whole text."""
+    return data.table(spark, d, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("qt"))
 
 
 def _index(spark: SparkSession, d: str) -> bm25.Index:
@@ -26,7 +26,7 @@ def _index(spark: SparkSession, d: str) -> bm25.Index:
 
 
 def _word_scores(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.scores(_index(spark, d), bm25.query_terms(questions(spark), T.doc_tokens(F.col("qt"))))
+    return bm25.scores(_index(spark, d), bm25.query_terms(questions(spark, d), T.doc_tokens(F.col("qt"))))
 
 
 BM25 = f"""{_Q},
@@ -156,7 +156,7 @@ h AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 1
 
 def _hybrid(spark, d, limit: int = 10) -> DataFrame:
     e = data.table(spark, d, "embeddings")
-    seeds = e.filter(F.col("vec_id").isin([i for i, _ in QUESTIONS])).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    seeds = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")).join(questions(spark, d).select("query_id"), "query_id", "left_semi")
     near = retrieval.knn(e, seeds, 5 * limit, 0.1).select("query_id", F.col("id").alias("doc_id"), "score")
     return retrieval.hybrid(_word_scores(spark, d).withColumn("score", F.round("score", 9)), near, limit, alpha=0.4, threshold=0.1)
 
@@ -278,7 +278,7 @@ def decomposed_search(spark, d):
 @query("rerank")
 def rerank(spark, d):
     """Hybrid results scored again by the rerank hook."""
-    x = _hybrid(spark, d).join(data.table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(questions(spark), "query_id")
+    x = _hybrid(spark, d).join(data.table(spark, d, "documents").select("doc_id", "text"), "doc_id").join(questions(spark, d), "query_id")
     return x.select("query_id", "doc_id", F.round(hooks.rerank_score(F.col("qt"), F.col("text"), F.col("score")), 6).alias("score"))
 
 
@@ -287,9 +287,9 @@ def graph_search(spark, d):
     """Hybrid results as seeds of personalised PageRank, both lists fused."""
     base = graph.cut(_hybrid(spark, d, 20))
     v = data.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
-    seeds = base.filter("query_id = 1 and rank <= 10").select(F.col("doc_id").alias("id"), F.col("score").alias("weight"))
-    walked = graph.personalized_pagerank(v, data.edges(spark, d), seeds).select(F.lit(1).cast("long").alias("query_id"), F.col("id").alias("doc_id"), F.round("rank", 12).alias("score"))
-    fused = retrieval.fuse([(base.filter("query_id = 1"), 0.6), (retrieval.top(walked, 20, ["query_id"]), 0.4)])
+    seeds = base.filter("query_id = 100 and rank <= 10").select(F.col("doc_id").alias("id"), F.col("score").alias("weight"))
+    walked = graph.personalized_pagerank(v, graph.cut(data.edges(spark, d)), seeds).select(F.lit(100).cast("long").alias("query_id"), F.col("id").alias("doc_id"), F.round("rank", 12).alias("score"))
+    fused = retrieval.fuse([(base.filter("query_id = 100"), 0.6), (retrieval.top(walked, 20, ["query_id"]), 0.4)])
     return retrieval.top(fused, 10, ["query_id"]).select("query_id", "doc_id", F.round("score", 8).alias("score"))
 
 
