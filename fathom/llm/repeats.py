@@ -13,7 +13,7 @@ Suffixes that agree on `length` bytes would be neighbours in a suffix array; onl
 
 Exact copies are one text with a number of copies from the start: they meet under their SHA-256 before a chunk sees them, so a text that a third of all documents
 share is one text. A name in a third of all documents costs an entry a chunk of about 8 MB. Names of step 3 have 64 + `more_bits` bits in two independent
-lanes: of N remaining suffixes about N^2 / 2^113 pairs of unequal strings are taken as equal (10^-8 of a pair for 10^13 suffixes). Step 1 uses fewer bits, where a
+lanes: of N remaining suffixes about N^2 / 2^97 pairs of unequal strings are taken as equal (10^-3 of a pair for 10^13 suffixes). Step 1 uses fewer bits, where a
 clash only keeps a suffix for step 3.
 
 Null texts are empty. Texts shorter than `length` keep all bytes. Strings never cross documents, overlaps with themselves count. Repeated rows are copies of each other.
@@ -61,7 +61,7 @@ class Repeats:
     #: Bits of a name in step 1 beyond the logarithm of the number of names.
     spare_bits: int = 12
     #: Bits of the second lane that names of step 3 carry besides the 64 of the first.
-    more_bits: int = 48
+    more_bits: int = 32
 
 
 def _among(values: np.ndarray, known: np.ndarray) -> np.ndarray:
@@ -160,7 +160,7 @@ def _distinct_texts(rows: DataFrame, chunks: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sent: dict[bytes, int] = {}
-        press = zstandard.ZstdCompressor(level=1)
+        press = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             new: list[tuple[int, bytes, bytes]] = []
             for x in batch.column(0):
