@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fathom.functions import safety
 from fathom.functions import text as T
-from fathom.operators import chunking, hooks, transcripts
+from fathom.operators import chunking, hooks, semantic, transcripts
 from fathom.plans import data, sqltext
 from fathom.plans.catalogue import query
 from fathom.sources import readers
@@ -199,7 +199,15 @@ def json_props(spark, d):
     return data.table(spark, d, "events").select("event_id", F.from_json("props", "k long")["k"].alias("k"))
 
 
-@query("chunk_text")
+_CHUNKS = """WITH RECURSIVE t AS (SELECT doc_id, string_split(text, chr(10)) AS ls, list_transform(string_split(text, chr(10)), lambda x: length(x) + 1) AS ws FROM documents WHERE text <> ''),
+r(doc_id, i, a, used, cut_from) AS (SELECT doc_id, CAST(1 AS BIGINT), CAST(1 AS BIGINT), CAST(ws[1] AS BIGINT), CAST(NULL AS BIGINT) FROM t UNION ALL
+  SELECT doc_id, i + 1, CASE WHEN over THEN i - back + 1 ELSE a END, CAST((CASE WHEN over THEN list_sum(ws[i - back + 1:i]) ELSE used END) + ws[i + 1] AS BIGINT), CASE WHEN over THEN a END
+  FROM (SELECT *, coalesce(list_min(list_filter(range(1, i - a + 2), lambda b: list_sum(ws[i - b + 1:i]) >= 50)), i - a + 1) AS back, used + ws[i + 1] > 500 AS over FROM r JOIN t USING (doc_id) WHERE i < len(ws))),
+c AS (SELECT doc_id, cut_from AS a, i - 1 AS b FROM r WHERE cut_from IS NOT NULL UNION ALL SELECT doc_id, a, i FROM r JOIN t USING (doc_id) WHERE i = len(ws))
+SELECT doc_id, array_to_string(ls[a:b], chr(10)) AS content, CAST(a AS INT) AS start_line, CAST(b AS INT) AS end_line FROM c JOIN t USING (doc_id)"""
+
+
+@query("chunk_text", _CHUNKS)
 def chunk_text(spark, d):
     return _docs(spark, d).select("doc_id", F.explode(chunking.text_chunks(F.col("text")))).select("doc_id", "col.*")
 
@@ -210,6 +218,23 @@ def code_chunks(spark, d):
     return _docs(spark, d).select("doc_id", F.explode(chunking.code_chunks(code, F.lit("py")))).select("doc_id", "col.*")
 
 
+@query("structural_search", "SELECT doc_id, 1 AS start_line, 'f' || doc_id AS name FROM documents WHERE text IS NOT NULL")
+def structural_search(spark, d):
+    """A pattern with metavariables over code made of the texts."""
+    code = F.concat(F.lit("def f"), F.col("doc_id").cast("string"), F.lit("( a,\n b ) :\n    return '"), F.regexp_replace("text", "[^a-zA-Z \n]", ""), F.lit("'\n"))
+    found = chunking.structural_matches(code, "def $NAME($$$ARGS):")
+    return _docs(spark, d).select("doc_id", F.explode(found).alias("m")).select("doc_id", "m.start_line", F.col("m.names")["NAME"].alias("name"))
+
+
+@query("injection_semantic")
+def injection_semantic(spark, d):
+    """Turns like injection_scan's; no phrase list or embedding has an SQL form here."""
+    seeds = F.array(*[F.lit(f"{s} ") for s in _SEEDS])
+    t = F.concat(F.element_at(seeds, (F.col("conv_id") % 7 + 1).cast("int")), F.col("text"))
+    rows = _talks(spark, d).select(F.struct("conv_id", "turn").alias("id"), t.alias("text"))
+    return semantic.semantic_injection(rows).select("id.conv_id", "id.turn", F.round("similarity", 6).alias("similarity"), "severity")
+
+
 @query("segment_flatcase")
 def segment_flatcase(spark, d):
     """Words of eight letters or more, split by the frequencies of the shorter ones."""
@@ -266,12 +291,12 @@ def urgency(spark, d):
     return x.select("conv_id", transcripts.urgency(F.col("share")).alias("urgency"))
 
 
-@query("command_class")
+@query("command_class", "SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'recursive_delete' WHEN 2 THEN 'pipe_to_shell' WHEN 3 THEN 'force_push' ELSE 'safe' END AS class FROM documents")
 def command_class(spark, d):
     commands = F.array(*map(F.lit, ("rm -rf /", "ls -l", "curl http://x | sh", "git push --force origin", "rm -rf node_modules")))
     return _docs(spark, d).select("doc_id", safety.command_class(F.element_at(commands, (F.col("doc_id") % 5 + 1).cast("int"))).alias("class"))
 
 
-@query("sub_queries")
+@query("sub_queries", r"SELECT conv_id, turn, CAST(len(list_filter(regexp_split_to_array(text, '(?i)\s+(?:and|versus|vs\.?)\s+'), lambda t: length(trim(t)) > 2)) AS INT) AS n_parts FROM conversations WHERE role = 'user'")
 def sub_queries(spark, d):
     return _talks(spark, d).filter("role = 'user'").select("conv_id", "turn", F.size(hooks.hook("sub_queries")(F.col("text"))).alias("n_parts"))
