@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fathom.functions import vectors as V
 from fathom.operators import hooks, retrieval
 
 # Phrases that steer a model, by language, and the similarities from which a window is one.
@@ -27,6 +28,28 @@ PROTOTYPES = [
 DEFINITE, PROBABLE = 0.9, 0.82
 
 
+# Specific and vague statements.
+SPECIFIC = [
+    "Implement JWT authentication middleware for the REST API endpoints", "Fix SQL injection vulnerability in the user registration handler", "Configure nginx reverse proxy with SSL termination on port 443",
+    "Refactor the database schema to support multi-tenant isolation", "Add retry logic with exponential backoff for failed API requests",
+]
+VAGUE = ["This is good", "Something happened with the code", "Maybe we should change stuff", "It works fine I think"]
+
+
+def specificity(rows: DataFrame, specific: list[str] = SPECIFIC, vague: list[str] = VAGUE) -> DataFrame:
+    """id, specificity for rows (id, text): mean cosine to the specific statements as a share of that and the mean cosine to the vague ones, each 0 at least; 0.5 if both are 0."""
+    embed = hooks.hook("embed")
+    phrases = rows.sparkSession.createDataFrame([(kind, p) for kind, of in (("high", specific), ("low", vague)) for p in of], "kind string, phrase string")
+    known = phrases.withColumn("ref_vec", embed(F.col("phrase")))
+    x = rows.select("id", embed(F.coalesce("text", F.lit(""))).alias("v"))
+    for kind in ("high", "low"):
+        # one list after the other on the same row, so that nothing is joined by id
+        refs = F.broadcast(known.filter(F.col("kind") == kind).groupBy().agg(F.collect_list("ref_vec").alias("refs")))
+        mean = F.aggregate(F.transform("refs", lambda r: V.cosine(F.col("v"), r)), F.lit(0.0), lambda s, c: s + c) / F.size("refs")
+        x = x.crossJoin(refs).withColumn(kind, F.greatest(F.lit(0.0), mean)).drop("refs")
+    return x.select("id", F.when(F.col("high") + F.col("low") > 0, F.col("high") / (F.col("high") + F.col("low"))).otherwise(0.5).alias("specificity"))
+
+
 def windows(text: Column, size: int = 120, overlap: int = 40, least: int = 10) -> Column:
     """Overlapping pieces of a text without space around it, each of `least` characters or more; one scan of the text, whatever its length."""
     step = size - overlap

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fathom.functions import text as T
-from fathom.operators import bm25, maintenance, transcripts
+from fathom.operators import bm25, flow, maintenance, transcripts
 from fathom.plans import data, sqltext
 from fathom.plans.catalogue import query
 from fathom.plans.text_queries import _SPEC
@@ -186,3 +186,28 @@ _CLEAR = " + ".join([
 def quality_heuristics(spark, d):
     docs = data.table(spark, d, "documents").filter("text is not null")
     return docs.select("doc_id", F.round(T.clarity(F.col("text")), 6).alias("clarity"), F.round(T.heuristic_quality(F.col("text"), F.col("doc_id") % 10 / 10.0), 6).alias("score"))
+
+
+_FLOW = """e AS (SELECT user_id AS session, event_id AS pos, CASE event_id % 8 WHEN 0 THEN 'read' WHEN 1 THEN 'grant' WHEN 2 THEN 'taint' ELSE 'write' END AS kind,
+  CASE WHEN event_id % 8 = 0 THEN event_id // 8 % (user_id % 4 + 1) WHEN event_id % 8 IN (3, 4) THEN event_id // 8 % 4 END AS level,
+  CASE WHEN event_id % 8 = 0 AND user_id % 2 = 0 THEN ['c' || (event_id // 8 % 3)] WHEN event_id % 8 = 3 THEN ['c0', 'c1'] ELSE [] END AS marks,
+  CASE WHEN event_id % 8 IN (1, 5) THEN 'a' || (event_id // 8 % 2) END AS act, event_id % 8 = 2 AND user_id % 3 = 0 AS taints FROM events),
+w AS (SELECT *, coalesce(max(CASE WHEN kind = 'read' THEN level END) OVER p, 0) AS own, list_distinct(flatten(coalesce(list(CASE WHEN kind = 'read' THEN marks ELSE [] END) OVER p, []))) AS cs, coalesce(bool_or(taints) OVER p, false) AS tainted
+  FROM e WINDOW p AS (PARTITION BY session ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, own = 0 AND len(cs) = 0 AS clean FROM w),
+u AS (SELECT pos, lag(kind) OVER (PARTITION BY session, act ORDER BY pos) = 'grant' AS granted FROM b WHERE act IS NOT NULL AND (kind = 'grant' OR NOT clean))"""
+
+
+@query("write_decisions", f"WITH {_FLOW} SELECT pos AS event_id, CAST(own AS INT) AS level, array_to_string(list_sort(cs), ',') AS compartments, tainted, CASE WHEN clean OR granted THEN 'allow' WHEN level >= own AND len(list_filter(cs, lambda x: NOT list_contains(marks, x))) = 0 THEN 'allow' WHEN own = 3 OR own = 2 AND tainted THEN 'deny' WHEN own = 2 THEN 'ask' WHEN own = 1 THEN 'warn' ELSE 'allow' END AS decision FROM b LEFT JOIN u USING (pos) WHERE kind = 'write'")
+def write_decisions(spark, d):
+    """Events as reads, grants, taints and writes of users."""
+    i, u = F.col("event_id"), F.col("user_id")
+    turn, none = F.floor(i / 8), F.array().cast("array<string>")
+    kind = F.when(i % 8 == 0, "read").when(i % 8 == 1, "grant").when(i % 8 == 2, "taint").otherwise("write")
+    level = F.when(i % 8 == 0, turn % (u % 4 + 1)).when((i % 8).isin(3, 4), turn % 4).cast("int")
+    marks = F.when((i % 8 == 0) & (u % 2 == 0), F.array(F.concat(F.lit("c"), (turn % 3).cast("string")))).when(i % 8 == 3, F.array(F.lit("c0"), F.lit("c1"))).otherwise(none)
+    events = data.table(spark, d, "events").select(
+        u.alias("session"), i.alias("at"), kind.alias("kind"), level.alias("level"), marks.alias("compartments"),
+        F.when((i % 8 == 2) & (u % 3 == 0), "web").alias("taint"), F.when((i % 8).isin(1, 5), F.concat(F.lit("a"), (turn % 2).cast("string"))).alias("action"),
+    )
+    return flow.write_decisions(events).select(F.col("at").alias("event_id"), "level", F.array_join("compartments", ",").alias("compartments"), "tainted", "decision")
