@@ -179,12 +179,42 @@ def stars(score: Column) -> Column:
     return F.when(score >= 90, 5).when(score >= 75, 4).when(score >= 50, 3).when(score >= 25, 2).otherwise(1)
 
 
-def readiness_score(memories: DataFrame, documents: DataFrame) -> DataFrame:
-    """A row with points for coverage of memories (20), quality (15), documents (15), freshness (10) and the sum of these as a share of 100, with stars."""
-    m = memories.agg(F.count(F.lit(1)).alias("n"), F.avg("quality_score").alias("q"), F.avg(F.when(F.col("age_hours") <= 720, 1.0).otherwise(0.0)).alias("fresh"))
-    x = m.crossJoin(documents.agg(F.count(F.lit(1)).alias("docs")))
-    points = F.least(F.col("n") / 50, F.lit(1.0)) * 20 + F.coalesce("q", F.lit(0.0)) * 15 + F.least(F.col("docs") / 100, F.lit(1.0)) * 15 + F.coalesce("fresh", F.lit(0.0)) * 10
-    return x.select("n", "docs", F.round(points / 60 * 100, 4).alias("score")).withColumn("stars", stars(F.col("score")))
+# Points by least share, number or mean, best first.
+MEMORY_POINTS = ((100, 20), (51, 15), (11, 10), (1, 5))
+CODE_POINTS = ((76, 15), (51, 11), (26, 7), (1, 4))
+DOC_POINTS = ((80, 10), (50, 7), (20, 4), (1, 2))
+AGENT_POINTS = ((10, 5), (7, 3), (4, 2), (1, 1))
+QUALITY_POINTS = ((0.85, 5), (0.7, 4), (0.5, 3), (0.3, 2))
+FRESH_POINTS = ((100, 5), (90, 4), (70, 3), (50, 2))
+
+
+def _points(value: Column, bands: tuple, below: int = 0) -> Column:
+    out = F.lit(below)
+    for least, points in reversed(bands):
+        out = F.when(value >= least, points).otherwise(out)
+    return out
+
+
+def readiness_score(projects: DataFrame) -> DataFrame:
+    """project, the points of nine metrics, their sum (100 at most) and stars. projects: project; memories, avg_quality (null if none is scored); source_files, indexed_code;
+    has_vault, doc_files, indexed_docs; has_instructions; statement (0 none, 1 a template, 2 one's own); hooks (kinds of the five that stand), agents; indexed_files, outdated (stale
+    or deleted). Null numbers are 0. Without source files, documents or indexed files there is nothing to do, which has full points; documents count only in a vault."""
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    share = lambda part, whole: F.round(100.0 * part / F.when(whole > 0, whole))
+    vault = F.coalesce("has_vault", F.lit(False))
+    metrics = {
+        "vault": F.when(F.coalesce("has_instructions", F.lit(False)), 10).otherwise(0) + F.when(vault & (n("doc_files") >= 5), 10).when(vault, 5).otherwise(0),
+        "memories": _points(n("memories"), MEMORY_POINTS),
+        "code": F.when(n("source_files") == 0, 15).otherwise(_points(share(n("indexed_code"), n("source_files")), CODE_POINTS)),
+        "statement": 5 * F.least(n("statement"), F.lit(2)),
+        "hooks": 2 * F.least(n("hooks"), F.lit(5)),
+        "agents": _points(n("agents"), AGENT_POINTS),
+        "documents": F.when(~vault, 0).when(n("doc_files") == 0, 10).otherwise(_points(share(n("indexed_docs"), n("doc_files")), DOC_POINTS)),
+        "quality": F.when(F.coalesce("avg_quality", F.lit(0.0)) == 0, 0).otherwise(_points(F.col("avg_quality"), QUALITY_POINTS, 1)),
+        "freshness": F.when(n("indexed_files") == 0, 5).otherwise(_points(share(n("indexed_files") - n("outdated"), n("indexed_files")), FRESH_POINTS, 1)),
+    }
+    got = projects.select("project", *[x.cast("int").alias(f"{name}_points") for name, x in metrics.items()])
+    return got.withColumn("score", sum((F.col(f"{name}_points") for name in metrics), F.lit(0))).withColumn("stars", stars(F.col("score")))
 
 
 def validate_tasks(tasks: DataFrame) -> DataFrame:

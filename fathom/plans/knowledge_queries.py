@@ -118,9 +118,34 @@ def repo_map(spark, d):
     return knowledge.repo_map(p).select("path", F.array_join("symbols", "|").alias("symbols"))
 
 
-@query("readiness_score", f"WITH {data.MEM}, a AS (SELECT count(*) AS n, avg(quality_score) AS q, avg(CASE WHEN age_hours <= 720 THEN 1.0::DOUBLE ELSE 0.0 END) AS f FROM mem), s AS (SELECT n, (SELECT count(*) FROM pages) AS docs, round((least(n / 50, 1.0) * 20 + coalesce(q, 0) * 15 + least((SELECT count(*) FROM pages) / 100, 1.0) * 15 + coalesce(f, 0) * 10) / 60 * 100, 4) AS score FROM a) SELECT *, CASE WHEN score >= 90 THEN 5 WHEN score >= 75 THEN 4 WHEN score >= 50 THEN 3 WHEN score >= 25 THEN 2 ELSE 1 END AS stars FROM s")
+def _bands(value: str, bands: tuple, below: int = 0) -> str:
+    return "CASE " + " ".join(f"WHEN {value} >= {least} THEN {points}" for least, points in bands) + f" ELSE {below} END"
+
+
+_READY = {
+    "vault": "CASE WHEN k % 2 = 0 THEN 10 ELSE 0 END + CASE WHEN k % 4 = 3 THEN 0 WHEN doc_files >= 5 THEN 10 ELSE 5 END", "memories": _bands("n", knowledge.MEMORY_POINTS),
+    "code": f"CASE WHEN source_files = 0 THEN 15 ELSE {_bands('round(100.0::DOUBLE * indexed_code / source_files)', knowledge.CODE_POINTS)} END", "statement": "k % 3 * 5", "hooks": "k % 6 * 2", "agents": _bands("k % 12", knowledge.AGENT_POINTS),
+    "documents": f"CASE WHEN k % 4 = 3 THEN 0 WHEN doc_files = 0 THEN 10 ELSE {_bands('round(100.0::DOUBLE * indexed_docs / doc_files)', knowledge.DOC_POINTS)} END",
+    "quality": f"CASE WHEN coalesce(q, 0) = 0 THEN 0 ELSE {_bands('q', knowledge.QUALITY_POINTS, 1)} END", "freshness": _bands("round(100.0::DOUBLE * (n - outdated) / n)", knowledge.FRESH_POINTS, 1),
+}
+
+
+@query(
+    "readiness_score",
+    f"WITH {data.MEM}, g AS (SELECT id % 50 AS k, count(*) AS n, round(avg(quality_score), 9) AS q, count_if(id % 4 = 0) AS source_files, count_if(id % 12 = 0) AS indexed_code, count_if(id % 4 = 1) AS doc_files, count_if(id % 20 = 1) AS indexed_docs, count_if(is_invalid) AS outdated FROM mem GROUP BY id % 50), p AS (SELECT k, "
+    + ", ".join(f"CAST({x} AS INT) AS {name}_points" for name, x in _READY.items())
+    + f" FROM g), s AS (SELECT *, {' + '.join(f'{name}_points' for name in _READY)} AS score FROM p) SELECT * EXCLUDE (k), k AS project, CASE WHEN score >= 90 THEN 5 WHEN score >= 75 THEN 4 WHEN score >= 50 THEN 3 WHEN score >= 25 THEN 2 ELSE 1 END AS stars FROM s",
+)
 def readiness_score(spark, d):
-    return knowledge.readiness_score(data.memories(spark, d), data.table(spark, d, "pages"))
+    """Memories as those of fifty projects, with files in numbers that follow from the ids."""
+    i, some = F.col("id"), lambda test: F.count(F.when(test, 1))
+    g = data.memories(spark, d).groupBy((i % 50).alias("project")).agg(
+        F.count(F.lit(1)).alias("memories"), F.round(F.avg("quality_score"), 9).alias("avg_quality"), some(i % 4 == 0).alias("source_files"), some(i % 12 == 0).alias("indexed_code"),
+        some(i % 4 == 1).alias("doc_files"), some(i % 20 == 1).alias("indexed_docs"), some(F.col("is_invalid")).alias("outdated"),
+    )
+    k = F.col("project")
+    facts = g.withColumns({"indexed_files": F.col("memories"), "has_vault": k % 4 != 3, "has_instructions": k % 2 == 0, "statement": k % 3, "hooks": k % 6, "agents": k % 12})
+    return knowledge.readiness_score(facts)
 
 
 @query("task_validation", "SELECT 'missing' AS problem, 'a' AS id, 'gone' AS other UNION ALL SELECT 'overlap', 'b', 'c' UNION ALL SELECT 'cycle', 'x', NULL UNION ALL SELECT 'cycle', 'y', NULL")
