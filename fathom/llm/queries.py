@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import compression, ctw, decontam, importance, jaccard, langid, mixing, repeats, sharding, warc
+from fathom.llm import alignment, compression, ctw, decontam, importance, jaccard, langid, mixing, repeats, sharding, tokencount, warc
 from fathom.llm.shared import table
 
 
@@ -57,11 +57,23 @@ def op10_prefix_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 
 
+def tokenizer_file(name: str) -> str:
+    return importlib.import_module("public_tokenizers").path(name)
+
+
+def op11_token_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokencount.Limit(tokens=1024))
+
+
+def op12_elementary_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), alignment.Pair(tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_importance_resampling, op3_difference_cover, op4_context_tree, op5_ngram_jaccard, op6_virtual_slots, op7_word_backoff, op8_entropy_mixing, op9_compression_bands, op10_prefix_decontamination, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_importance_resampling, op3_difference_cover, op4_context_tree, op5_ngram_jaccard, op6_virtual_slots, op7_word_backoff, op8_entropy_mixing, op9_compression_bands, op10_prefix_decontamination, op11_token_transducer, op12_elementary_intervals, pipeline)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_capture_index": """
