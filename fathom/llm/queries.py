@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fathom.llm import alignment, compression, ctw, decontam, importance, jaccard, langid, mixing, repeats, sharding, tokencount, warc
+from fathom.llm import alignment, board, compression, ctw, decontam, importance, jaccard, langid, mixing, repeats, sharding, tokencount, warc
 from fathom.llm.shared import table
 
 
@@ -69,11 +69,15 @@ def op12_elementary_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), alignment.Pair(tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")))
 
 
+def op13_board_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return board.changes(*(table(spark, sf_dir, name) for name in ("sale_lines", "vendors", "items")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importlib.import_module("corpus_pipeline").run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_importance_resampling, op3_difference_cover, op4_context_tree, op5_ngram_jaccard, op6_virtual_slots, op7_word_backoff, op8_entropy_mixing, op9_compression_bands, op10_prefix_decontamination, op11_token_transducer, op12_elementary_intervals, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_warc_capture_index, op2_importance_resampling, op3_difference_cover, op4_context_tree, op5_ngram_jaccard, op6_virtual_slots, op7_word_backoff, op8_entropy_mixing, op9_compression_bands, op10_prefix_decontamination, op11_token_transducer, op12_elementary_intervals, op13_board_changes, pipeline)}
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ORACLE_SQL: dict[str, str] = {
     "op1_warc_capture_index": """
