@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import heapq
 import itertools
-import tempfile
-import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -13,15 +11,16 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fathom.operators import store
+
 # Relations a link may have.
 RELATIONS = ["related", "supports", "contradicts", "extends", "similar_to", "depends_on", "caused_by", "alternative_to", "supersedes", "implements", "references", "updates", "derives", "documents", "bug_in", "test_covers", "motivates"]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Ends the lineage: rows go to a table in the shared checkpoint folder (a local one where none is set, as in tests) and are read from there."""
+    """Ends the lineage: rows go to a table in the shared checkpoint folder and are read from there."""
     spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.gettempdir()}/fathom-checkpoints"
-    path = f"{root.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    path = store.new_folder(spark, "cut")
     df.coalesce(max(32, 4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")) // 8)).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fathom.functions import scoring as S
 from fathom.functions import text as T
 from fathom.functions import vectors as V
-from fathom.operators import bm25, graph, hooks, metrics, retrieval
+from fathom.operators import bm25, graph, hooks, metrics, retrieval, store, word_index
 from fathom.plans import data, sqltext
 from fathom.plans.catalogue import query
 from fathom.sources import readers
@@ -21,12 +21,22 @@ def questions(spark: SparkSession, d: str) -> DataFrame:
     return data.table(spark, d, "documents").filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.coalesce("text", F.lit("")).alias("qt"))
 
 
-def _index(spark: SparkSession, d: str) -> bm25.Index:
-    return bm25.build(readers.spread(data.table(spark, d, "documents").select("doc_id", "text")), T.doc_tokens(F.coalesce("text", F.lit(""))), stored=True)
+def kept_index(spark: SparkSession, d: str) -> word_index.WordIndex:
+    """The index of this documents table as its files are now; made by the first query that asks for it, and read by all later ones."""
+    docs = data.table(spark, d, "documents")
+    held = word_index.WordIndex(spark, f"{store.shared_root(spark)}/words-{word_index.FORM}-{store.content_key(docs)}")
+    if not held.exists():
+        held.add(readers.spread(docs.select("doc_id", "text")).select("doc_id", T.doc_tokens(F.coalesce("text", F.lit(""))).alias("tokens")))
+    return held
+
+
+def _question_terms(spark: SparkSession, d: str) -> DataFrame:
+    return bm25.query_terms(questions(spark, d), T.doc_tokens(F.col("qt")))
 
 
-def _word_scores(spark: SparkSession, d: str) -> DataFrame:
-    return bm25.scores(_index(spark, d), bm25.query_terms(questions(spark, d), T.doc_tokens(F.col("qt"))))
+def _best_words(spark: SparkSession, d: str, k: int) -> DataFrame:
+    """query_id, doc_id, score, rank by words."""
+    return kept_index(spark, d).top(_question_terms(spark, d), k)
 
 
 BM25 = f"""{_Q},
@@ -44,13 +54,14 @@ wsc AS (
 
 @query("bm25_search", f"WITH {BM25}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM wsc) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10")
 def bm25_search(spark, d):
-    scored = _word_scores(spark, d).withColumn("score", F.round("score", 9))
-    return retrieval.top(scored, 10, ["query_id"]).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+    return _best_words(spark, d, 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("bm25_idf", f"WITH {BM25} SELECT term, df, round(ln((n_docs - df + 0.5) / (df + 0.5) + 1), 6) AS idf FROM df, st WHERE df >= 20")
 def bm25_idf(spark, d):
-    return bm25.inverse_frequencies(_index(spark, d)).filter("df >= 20").select("term", "df", F.round("idf", 6).alias("idf"))
+    held = kept_index(spark, d)
+    found = held.frequencies().filter("df >= 20").crossJoin(F.broadcast(held.statistics()))  # one row
+    return found.select("term", "df", F.round(bm25.idf(F.col("df"), F.col("n_docs")), 6).alias("idf"))
 
 
 @query(
@@ -75,7 +86,7 @@ SELECT coalesce(w.doc_id, f.doc_id) AS doc_id, round(CASE WHEN times IS NOT NULL
 )
 def identifier_boost(spark, d):
     one = spark.createDataFrame([(1, "tion")], "query_id long, qt string")
-    scored = bm25.scores(_index(spark, d), bm25.query_terms(one, T.doc_tokens(F.col("qt")))).drop("query_id")
+    scored = kept_index(spark, d).scores(bm25.query_terms(one, T.doc_tokens(F.col("qt")))).drop("query_id")
     return bm25.identifier_boost(scored, data.table(spark, d, "documents"), "tion").select("doc_id", F.round("score", 6).alias("score"))
 
 
@@ -158,7 +169,7 @@ def _hybrid(spark, d, limit: int = 10) -> DataFrame:
     e = data.table(spark, d, "embeddings")
     seeds = e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec")).join(questions(spark, d).select("query_id"), "query_id", "left_semi")
     near = retrieval.knn(e, seeds, 5 * limit, 0.1).select("query_id", F.col("id").alias("doc_id"), "score")
-    return retrieval.hybrid(_word_scores(spark, d).withColumn("score", F.round("score", 9)), near, limit, alpha=0.4, threshold=0.1)
+    return retrieval.hybrid(_best_words(spark, d, 3 * limit), near, limit, alpha=0.4, threshold=0.1)
 
 
 @query("hybrid_search", f"WITH {HYBRID} SELECT query_id, doc_id, round(score, 8) AS score, rank FROM h WHERE rank <= 10")
@@ -271,7 +282,7 @@ SELECT doc_id, round(score, 8) AS score FROM s""",
 )
 def decomposed_search(spark, d):
     """The questions as parts of one query, fused without weights."""
-    ranked = retrieval.top(_word_scores(spark, d).withColumn("score", F.round("score", 9)), 20, ["query_id"]).withColumn("whole", F.lit(1))
+    ranked = _best_words(spark, d, 20).withColumn("whole", F.lit(1))
     return retrieval.fuse([(ranked, 1.0)], by="whole").select("doc_id", F.round("score", 8).alias("score"))
 
 
