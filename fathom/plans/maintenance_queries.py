@@ -198,16 +198,23 @@ b AS (SELECT *, own = 0 AND len(cs) = 0 AS clean FROM w),
 u AS (SELECT pos, lag(kind) OVER (PARTITION BY session, act ORDER BY pos) = 'grant' AS granted FROM b WHERE act IS NOT NULL AND (kind = 'grant' OR NOT clean))"""
 
 
-@query("write_decisions", f"WITH {_FLOW} SELECT pos AS event_id, CAST(own AS INT) AS level, array_to_string(list_sort(cs), ',') AS compartments, tainted, CASE WHEN clean OR granted THEN 'allow' WHEN level >= own AND len(list_filter(cs, lambda x: NOT list_contains(marks, x))) = 0 THEN 'allow' WHEN own = 3 OR own = 2 AND tainted THEN 'deny' WHEN own = 2 THEN 'ask' WHEN own = 1 THEN 'warn' ELSE 'allow' END AS decision FROM b LEFT JOIN u USING (pos) WHERE kind = 'write'")
-def write_decisions(spark, d):
+WRITE_DECISIONS = f"WITH {_FLOW} SELECT pos AS event_id, CAST(own AS INT) AS level, array_to_string(list_sort(cs), ',') AS compartments, tainted, CASE WHEN clean OR granted THEN 'allow' WHEN level >= own AND len(list_filter(cs, lambda x: NOT list_contains(marks, x))) = 0 THEN 'allow' WHEN own = 3 OR own = 2 AND tainted THEN 'deny' WHEN own = 2 THEN 'ask' WHEN own = 1 THEN 'warn' ELSE 'allow' END AS decision FROM b LEFT JOIN u USING (pos) WHERE kind = 'write'"
+
+
+def flow_events(spark, d):
     """Events as reads, grants, taints and writes of users."""
     i, u = F.col("event_id"), F.col("user_id")
     turn, none = F.floor(i / 8), F.array().cast("array<string>")
     kind = F.when(i % 8 == 0, "read").when(i % 8 == 1, "grant").when(i % 8 == 2, "taint").otherwise("write")
     level = F.when(i % 8 == 0, turn % (u % 4 + 1)).when((i % 8).isin(3, 4), turn % 4).cast("int")
     marks = F.when((i % 8 == 0) & (u % 2 == 0), F.array(F.concat(F.lit("c"), (turn % 3).cast("string")))).when(i % 8 == 3, F.array(F.lit("c0"), F.lit("c1"))).otherwise(none)
-    events = data.table(spark, d, "events").select(
+    return data.table(spark, d, "events").select(
         u.alias("session"), i.alias("at"), kind.alias("kind"), level.alias("level"), marks.alias("compartments"),
         F.when((i % 8 == 2) & (u % 3 == 0), "web").alias("taint"), F.when((i % 8).isin(1, 5), F.concat(F.lit("a"), (turn % 2).cast("string"))).alias("action"),
     )
-    return flow.write_decisions(events).select(F.col("at").alias("event_id"), "level", F.array_join("compartments", ",").alias("compartments"), "tainted", "decision")
+
+
+@query("write_decisions", WRITE_DECISIONS)
+def write_decisions(spark, d):
+    found = flow.write_decisions(flow_events(spark, d))
+    return found.select(F.col("at").alias("event_id"), "level", F.array_join("compartments", ",").alias("compartments"), "tainted", "decision")
