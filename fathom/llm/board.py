@@ -58,6 +58,8 @@ _STREAM = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.minBatchesToRetain": "2",
+    # A start has one batch: stores that stay open after it only hold disk and memory.
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
 }
 _KEPT = ("spark.sql.shuffle.partitions", "spark.sql.session.timeZone", "spark.sql.files.maxPartitionBytes", "spark.sql.execution.arrow.maxBytesPerBatch")
 
