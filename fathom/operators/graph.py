@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import heapq
 import itertools
 from collections import defaultdict
 from collections.abc import Iterator
@@ -70,42 +69,48 @@ def isolated(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     return vertices.select("id").join(ends, "id", "left_anti")
 
 
-def _walk(vertices: DataFrame, edges: DataFrame, home: DataFrame, alpha: float, steps: int, tolerance: float) -> DataFrame:
-    """Power iteration of rank = alpha * (in-flow + dangling mass / n) + (1 - alpha) * home. home: id, home (sums to 1)."""
-    n = vertices.count()
+def _walk(vertices: DataFrame, edges: DataFrame, home: DataFrame, alpha: float, steps: int | None, tolerance: float) -> DataFrame:
+    """Power iteration of rank = alpha * (in-flow + dangling mass / n) + (1 - alpha) * home. home: id, home (sums to 1). Without `steps` it goes on until ranks move by less than
+    tolerance in total, which they do as each step moves them by alpha times the last move at most; with `steps`, ranks that still move after them are an error."""
+    if steps is None and tolerance <= 0:
+        raise ValueError("a walk needs a tolerance or a number of steps")
+    spark, n = vertices.sparkSession, vertices.count()
     if not n:
         return vertices.select("id", F.lit(0.0).alias("rank"))
+    rounds = store.Rounds(spark, "rank")
     out = edges.groupBy("source_id").agg(F.sum("weight").alias("all"))
-    flow = edges.join(out, "source_id").groupBy("source_id", "target_id").agg(F.sum(F.col("weight") / F.col("all")).alias("share"))
-    flow = flow.repartition("source_id").persist()
+    flow, _ = rounds.put(edges.join(out, "source_id").groupBy("source_id", "target_id").agg(F.sum(F.col("weight") / F.col("all")).alias("share")))
     base = vertices.select("id").join(home, "id", "left").join(out.select(F.col("source_id").alias("id"), F.lit(True).alias("sends")), "id", "left")
-    base = base.select("id", F.coalesce("home", F.lit(0.0)).alias("home"), F.coalesce("sends", F.lit(False)).alias("sends")).persist()
-    rank = base.select("id", F.lit(1.0 / n).alias("rank"))
-    for step in range(steps):
-        lost = rank.join(base.filter("not sends").select("id"), "id", "left_semi").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("lost"))
-        got = flow.join(rank, F.col("source_id") == F.col("id")).groupBy("target_id").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
-        new = base.join(got, F.col("id") == F.col("target_id"), "left").crossJoin(F.broadcast(lost))
-        new = new.select("id", (alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n) + (1 - alpha) * F.col("home")).alias("rank"))
-        checked = tolerance > 0 and (step % 5 == 4 or step + 1 == steps)
-        if checked or step % 3 == 2 or step + 1 == steps:
-            new = cut(new)
-        if checked:
-            moved = new.join(rank.withColumnRenamed("rank", "old"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-            if moved < tolerance:
-                rank = new
-                break
-        rank = new
-    flow.unpersist()
-    base.unpersist()
-    return rank
-
-
-def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, steps: int = 100, tolerance: float = 1e-6) -> DataFrame:
+    base, _ = rounds.put(base.select("id", F.coalesce("home", F.lit(0.0)).alias("home"), F.coalesce("sends", F.lit(False)).alias("sends")))
+    rank, path = rounds.put(base.select("id", "home", "sends", F.lit(1.0 / n).alias("rank"), F.lit(0.0).alias("moved")))
+    step, hops = 0, 4
+    while True:
+        for _ in range(hops if steps is None else min(hops, steps - step)):
+            lost = rank.agg(F.coalesce(F.sum(F.when(~F.col("sends"), F.col("rank"))), F.lit(0.0)).alias("lost"))
+            got = flow.join(rank.select("id", "rank"), F.col("source_id") == F.col("id")).groupBy("target_id").agg(F.sum(F.col("rank") * F.col("share")).alias("got"))
+            new = rank.join(got, F.col("id") == F.col("target_id"), "left").crossJoin(F.broadcast(lost))  # one row
+            now = alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n) + (1 - alpha) * F.col("home")
+            rank = new.select("id", "home", "sends", now.alias("rank"), F.abs(now - F.col("rank")).alias("moved"))
+            step += 1
+        rank, new_path = rounds.put(rank)
+        rounds.drop(path)
+        path = new_path
+        moved = rank.agg(F.sum("moved")).first()[0]
+        if tolerance > 0 and moved < tolerance:
+            break
+        if steps is not None and step >= steps:
+            if tolerance > 0:
+                raise ValueError(f"after {steps} steps ranks still move by {moved}: allow more steps, or none to go on until they rest")
+            break
+    return rank.select("id", "rank")
+
+
+def pagerank(vertices: DataFrame, edges: DataFrame, alpha: float = 0.85, steps: int | None = None, tolerance: float = 1e-6) -> DataFrame:
     n = max(vertices.count(), 1)
     return _walk(vertices, edges, vertices.select("id", F.lit(1.0 / n).alias("home")), alpha, steps, tolerance)
 
 
-def personalized_pagerank(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, steps: int = 50, tolerance: float = 1e-8) -> DataFrame:
+def personalized_pagerank(vertices: DataFrame, edges: DataFrame, seeds: DataFrame, alpha: float = 0.85, steps: int | None = None, tolerance: float = 1e-8) -> DataFrame:
     """seeds (id, weight) are normalised; dangling mass is spread over all vertices, not the seeds."""
     total = seeds.agg(F.sum("weight").alias("total"))
     return _walk(vertices, edges, seeds.crossJoin(F.broadcast(total)).select("id", (F.col("weight") / F.col("total")).alias("home")), alpha, steps, tolerance)
@@ -128,22 +133,26 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def label_propagation(edges: DataFrame, steps: int = 100) -> DataFrame:
-    """node, community: all nodes at once take the label of most weight among neighbours, the least of equals; a node keeps its own among those.
-    Every other step moves only nodes of odd hash, so that two-coloured graphs settle."""
-    both = edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v"), "weight").unionAll(edges.select("target_id", "source_id", "weight")).filter("u <> v").groupBy("u", "v").agg(F.sum("weight").alias("w"))
-    both = cut(both)
-    label = both.select(F.col("u").alias("node"), F.col("u").alias("community")).distinct()
-    for step in range(steps):
+    """node, community: nodes take the label of most weight among neighbours, the least of equals; a node keeps its own among those. All move in the first round, later about half
+    of them, others each time, so that neighbours that would swap labels for ever come to rest. It ends when no node would move; nodes that still would after `steps` rounds are
+    an error."""
+    rounds = store.Rounds(edges.sparkSession, "labels")
+    both = edges.select(F.col("source_id").alias("u"), F.col("target_id").alias("v"), "weight").unionAll(edges.select("target_id", "source_id", "weight")).filter("u <> v")
+    both, _ = rounds.put(both.groupBy("u", "v").agg(F.sum("weight").alias("w")))
+    label, path = rounds.put(both.select(F.col("u").alias("node"), F.col("u").alias("community")).distinct())
+    for step in range(steps + 1):
         votes = both.join(label, F.col("v") == F.col("node")).groupBy("u", "community").agg(F.sum("w").alias("votes"))
         own = votes.join(label.select(F.col("node").alias("u"), F.col("community").alias("now")), "u")
-        best = own.groupBy("u").agg(F.min(F.struct((-F.col("votes")).alias("v"), (F.col("community") != F.col("now")).alias("other"), F.col("community").alias("c"))).alias("b")).select("u", F.col("b.c").alias("c"))
-        turn = (F.pmod(F.xxhash64("node"), F.lit(2)) == step % 2) if step else F.lit(True)
-        new = cut(label.join(best, F.col("node") == F.col("u"), "left").select("node", F.when(turn, F.coalesce("c", "community")).otherwise(F.col("community")).alias("community")))
-        moved = new.join(label.withColumnRenamed("community", "old"), "node").filter("community <> old").take(1)
-        label = new
-        if not moved and step:
-            break
-    return label
+        rank = F.struct((-F.col("votes")).alias("v"), (F.col("community") != F.col("now")).alias("other"), F.col("community").alias("c"))
+        best = own.groupBy("u").agg(F.min(rank).alias("b")).select("u", F.col("b.c").alias("c"))
+        wish, wish_path = rounds.put(label.join(best, F.col("node") == F.col("u"), "left").select("node", "community", F.coalesce("c", "community").alias("c")))
+        rounds.drop(path)
+        path = wish_path
+        if not wish.filter("c <> community").take(1):
+            return wish.select("node", "community")
+        turn = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(2)) == 0 if step else F.lit(True)
+        label = wish.select("node", F.when(turn, F.col("c")).otherwise(F.col("community")).alias("community"))
+    raise ValueError(f"labels still move after {steps} rounds: allow more")
 
 
 def shortest_paths(edges: DataFrame, start: int) -> DataFrame:
@@ -171,49 +180,6 @@ def _adjacency(edges: pd.DataFrame) -> dict[int, dict[int, float]]:
     return near
 
 
-def betweenness(edges: DataFrame, limit: int = 200_000) -> DataFrame:
-    """id, betweenness (undirected, length 1 / weight, normalised). Sources are dealt over the tasks; edges are broadcast, which is refused beyond `limit` of them."""
-    n_edges = edges.count()
-    if n_edges > limit:
-        raise ValueError(f"{n_edges} edges are over the limit of {limit}: sample sources or work on components")
-    near = _adjacency(edges.select("source_id", "target_id", "weight").toPandas())
-    sent = edges.sparkSession.sparkContext.broadcast(dict(near))
-    n = len(near)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = sent.value
-        total: dict[int, float] = defaultdict(float)
-        for s in (s for batch in batches for s in batch.id):
-            dist, sigma, before, done, heap = {s: 0.0}, defaultdict(float, {s: 1.0}), defaultdict(list), [], [(0.0, s)]
-            final = set()
-            while heap:
-                d, v = heapq.heappop(heap)
-                if v in final:
-                    continue
-                final.add(v)
-                done.append(v)
-                for u, w in graph[v].items():
-                    length = d + 1 / (w if w > 0 else 0.01)
-                    if u not in dist or length < dist[u] - 1e-12:
-                        dist[u], sigma[u], before[u] = length, sigma[v], [v]
-                        heapq.heappush(heap, (length, u))
-                    elif abs(length - dist[u]) <= 1e-12:
-                        sigma[u] += sigma[v]
-                        before[u].append(v)
-            delta: dict[int, float] = defaultdict(float)
-            for v in reversed(done):
-                for u in before[v]:
-                    delta[u] += sigma[u] / sigma[v] * (1 + delta[v])
-                if v != s:
-                    total[v] += delta[v]
-        yield pd.DataFrame({"id": list(total), "part": list(total.values())})
-
-    ids = edges.select(F.col("source_id").alias("id")).union(edges.select("target_id")).distinct()
-    scale = 1.0 / ((n - 1) * (n - 2)) if n > 2 else 1.0
-    parts = ids.mapInPandas(run, "id long, part double").groupBy("id").agg(F.sum("part").alias("part"))
-    return ids.join(parts, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale).alias("betweenness"))
-
-
 def _articulation(near: dict[int, dict[int, float]]) -> list[int]:
     index: dict[int, int] = {}
     low: dict[int, int] = {}

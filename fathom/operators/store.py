@@ -60,3 +60,20 @@ class Log:
     def add(self, generation: int, kind: str, folder: str, rows: int, amount: float = 0.0) -> None:
         one = self.spark.createDataFrame([(generation, kind, folder, rows, float(amount))], self.schema)
         one.coalesce(1).write.mode("overwrite").json(f"{self.path}/log/{generation:09d}")
+
+
+class Rounds:
+    """Tables of a loop: each round's table ends the lineage, and the one that it replaces is deleted when asked to."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.path, self.n = spark, new_folder(spark, what), 0
+
+    def put(self, df: DataFrame) -> tuple[DataFrame, str]:
+        self.n += 1
+        path = f"{self.path}/{self.n:05d}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path), path
+
+    def drop(self, path: str) -> None:
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathom.operators import graph
+from fathom.operators import graph, walks
 from fathom.plans import data
 from fathom.plans.catalogue import query
 
@@ -91,7 +91,7 @@ def louvain(spark, d):
 
 @query("betweenness")
 def betweenness(spark, d):
-    return graph.betweenness(data.edges(spark, d)).select("id", F.round("betweenness", 9).alias("betweenness"))
+    return walks.betweenness(graph.cut(data.edges(spark, d))).select("id", F.round("betweenness", 9).alias("betweenness"))
 
 
 @query("articulation_points")

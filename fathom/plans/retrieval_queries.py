@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from fathom.functions import scoring as S
 from fathom.functions import text as T
 from fathom.functions import vectors as V
-from fathom.operators import bm25, graph, hooks, metrics, retrieval, store, word_index
+from fathom.operators import bm25, graph, hooks, metrics, retrieval, store, walks, word_index
 from fathom.plans import data, sqltext
 from fathom.plans.catalogue import query
 from fathom.sources import readers
@@ -295,12 +295,13 @@ def rerank(spark, d):
 
 @query("graph_search")
 def graph_search(spark, d):
-    """Hybrid results as seeds of personalised PageRank, both lists fused."""
+    """Every question's hybrid results as seeds of its personalised PageRank, both lists fused."""
     base = graph.cut(_hybrid(spark, d, 20))
     v = data.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"))
-    seeds = base.filter("query_id = 100 and rank <= 10").select(F.col("doc_id").alias("id"), F.col("score").alias("weight"))
-    walked = graph.personalized_pagerank(v, graph.cut(data.edges(spark, d)), seeds).select(F.lit(100).cast("long").alias("query_id"), F.col("id").alias("doc_id"), F.round("rank", 12).alias("score"))
-    fused = retrieval.fuse([(base.filter("query_id = 100"), 0.6), (retrieval.top(walked, 20, ["query_id"]), 0.4)])
+    known = base.join(v, base.doc_id == v.id, "left_semi")
+    seeds = known.filter("rank <= 10").select("query_id", F.col("doc_id").alias("id"), F.col("score").alias("weight"))
+    walked = walks.personalized_ranks(v, graph.cut(data.edges(spark, d)), seeds).select("query_id", F.col("id").alias("doc_id"), F.round("rank", 12).alias("score"))
+    fused = retrieval.fuse([(base, 0.6), (retrieval.top(walked, 20, ["query_id"]), 0.4)])
     return retrieval.top(fused, 10, ["query_id"]).select("query_id", "doc_id", F.round("score", 8).alias("score"))
 
 
