@@ -1,14 +1,15 @@
 """Sharding by fixed virtual slots (operator 6).
 
-Records are hashed into n_slots virtual slots, a number that never changes. The bytes of each slot are added up, and a versioned map tells the
-shard of every slot. Rebalancing edits the map: whole slots move, as few as are needed, and a new version is stored; records are never hashed
-anew. The law is `bytes`: shards hold nearly equal bytes.
+Records are hashed, by id, text and size, into n_slots virtual slots, a number that never changes; records without an id also by a number of their own, so that any number of
+equal ones are many slots. The bytes of each slot are added up, and a versioned map tells the shard of every slot. Version 1 deals slots out in turn, before any bytes are
+known; rebalancing edits the map: whole slots move, as few as are needed, and a new version is stored; records are never hashed anew. The law is `bytes`: shards hold
+nearly equal bytes, within `slack` of the mean as far as slots can be moved.
 
 Only the slot table (n_slots rows, a fixed number) reaches the driver. A row's place within its shard is the number of rows in the shard's
 slots before its own, plus those of the parts before its own in its slot (`parts` of them, by a hash of the whole key, so that a slot that one id fills is several
-tasks), plus its place within its part. So no shard and no slot is sorted in one task; rows of one id stay in one slot.
+tasks), plus its place within its part. So no shard and no slot is sorted in one task; rows of one id and text stay in one slot.
 
-A null text has size 1 and the CRC of the empty text; a null id is hashed as the empty text. Repeated rows get places of their own. An empty table
+A null text has size 1 and the CRC of the empty text. Repeated rows get places of their own. An empty table
 gives no rows and a map with every slot placed. Extra columns pass through; they are replaced where they are named like a result.
 """
 
@@ -17,7 +18,7 @@ from __future__ import annotations
 import heapq
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fathom.llm.shared import id_text, materialise, quoted, shared_dir, text_bytes, unused
@@ -81,8 +82,11 @@ class SlotMap:
         return SlotMap([r.shard for r in found], found[0].n_shards, version)
 
 
-def slot_of(df: DataFrame, id_col: str, n_slots: int = N_SLOTS):
-    return F.pmod(F.xxhash64(id_text(F.col(quoted(id_col)))), F.lit(n_slots)).cast("int")
+def slot_of(id_col: str, crc: Column, size: Column, n_slots: int = N_SLOTS) -> Column:
+    """Of records without an id, those that stand after each other in a task come to different slots."""
+    ident = F.col(quoted(id_col))
+    own = F.when(ident.isNull(), F.monotonically_increasing_id())
+    return F.pmod(F.xxhash64(id_text(ident), crc, size, own), F.lit(n_slots)).cast("int")
 
 
 def slot_table(rows: DataFrame, n_slots: int, number: str) -> tuple[list[int], list[int]]:
@@ -93,22 +97,26 @@ def slot_table(rows: DataFrame, n_slots: int, number: str) -> tuple[list[int], l
     return sizes, counts
 
 
-def shard(documents: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, map_path: str | None = None, parts: int = 16) -> DataFrame:
+def shard(documents: DataFrame, n_shards: int = 16, n_slots: int = N_SLOTS, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, map_path: str | None = None, parts: int = 16, slack: float = 0.002) -> DataFrame:
     """The columns `keep` (default: all) with size, text_crc32, virtual_slot, map_version, shard and slot, the row's place in its shard from 0."""
     spark, text = documents.sparkSession, F.col(quoted(text_col))
-    made = {"size": text_bytes(text) + 1, "text_crc32": F.crc32(F.coalesce(text, F.lit("")).cast("binary")), "virtual_slot": slot_of(documents, id_col, n_slots)}
+    size, crc = text_bytes(text) + 1, F.crc32(F.coalesce(text, F.lit("")).cast("binary"))
+    made = {"size": size, "text_crc32": crc, "virtual_slot": slot_of(id_col, crc, size, n_slots)}
     kept = [c for c in (documents.columns if keep is None else keep) if c not in {*made, "map_version", "shard", "slot"}]
     part, place, start, at_slot, at_part = unused([*kept, *made], "part", "place", "start", "at_slot", "at_part")
     ident = id_text(F.col(quoted(id_col)))
     rows = documents.select(*[F.col(quoted(c)) for c in kept], *(v.alias(k) for k, v in made.items()), ident.alias(place))
     rows = rows.withColumn(part, F.pmod(F.xxhash64(place, "text_crc32", "size", F.lit(5)), F.lit(parts)).cast("int"))
     where = shared_dir(spark)
-    if keep is not None:
-        rows = materialise(rows, f"{where}/sized")
+    # Written, as a number of a record's own must not change between the two readings.
+    rows = materialise(rows, f"{where}/sized")
     counts = materialise(rows.groupBy("virtual_slot", part).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")), f"{where}/parts", n_slots * parts)
     sizes, per_slot = slot_table(counts, n_slots, "n")
-    slots = SlotMap.initial(sizes, n_shards)
-    slots.store(spark, map_path or f"{where}/slot_map")
+    maps = map_path or f"{where}/slot_map"
+    slots = SlotMap([s % n_shards for s in range(n_slots)], n_shards)
+    slots.store(spark, maps)
+    slots = slots.rebalanced(sizes, slack=slack)
+    slots.store(spark, maps)
     before, seen = [0] * n_slots, [0] * n_shards
     for s, k in enumerate(slots.shard):
         before[s] = seen[k]
