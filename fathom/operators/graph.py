@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 import itertools
-from collections import defaultdict
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -172,100 +169,6 @@ def shortest_paths(edges: DataFrame, start: int) -> DataFrame:
     return best.select("node", "b.distance", "b.weight", "b.path")
 
 
-def _adjacency(edges: pd.DataFrame) -> dict[int, dict[int, float]]:
-    near: dict[int, dict[int, float]] = defaultdict(dict)
-    for s, t, w in zip(edges.source_id, edges.target_id, edges.weight, strict=True):
-        if s != t:
-            near[s][t] = near[t][s] = near[s].get(t, 0.0) + w
-    return near
-
-
-def _articulation(near: dict[int, dict[int, float]]) -> list[int]:
-    index: dict[int, int] = {}
-    low: dict[int, int] = {}
-    found: set[int] = set()
-    for root in sorted(near):
-        if root in index:
-            continue
-        index[root] = low[root] = len(index)
-        stack = [(root, None, iter(sorted(near[root])))]
-        branches = 0
-        while stack:
-            v, parent, rest = stack[-1]
-            for u in rest:
-                if u not in index:
-                    index[u] = low[u] = len(index)
-                    stack.append((u, v, iter(sorted(near[u]))))
-                    branches += v == root
-                    break
-                if u != parent:
-                    low[v] = min(low[v], index[u])
-            else:
-                stack.pop()
-                if parent is not None:
-                    low[parent] = min(low[parent], low[v])
-                    if parent != root and low[v] >= index[parent]:
-                        found.add(parent)
-        if branches > 1:
-            found.add(root)
-    return sorted(found)
-
-
-def articulation_points(edges: DataFrame) -> DataFrame:
-    """Ids whose removal parts their component: one task a component."""
-    parts = edges.join(components(edges), F.col("source_id") == F.col("node")).select("component", "source_id", "target_id", "weight")
-    return parts.groupBy("component").applyInPandas(lambda e: pd.DataFrame({"id": _articulation(_adjacency(e))}, dtype="int64"), "id long")
-
-
-def _louvain(near: dict[int, dict[int, float]], resolution: float) -> dict[int, int]:
-    group = {v: v for v in near}
-    graph = {v: dict(n) for v, n in near.items()}
-    loops: dict[int, float] = dict.fromkeys(near, 0.0)
-    total = sum(sum(n.values()) for n in near.values()) / 2 or 1.0
-    while True:
-        strength = {v: sum(n.values()) + 2 * loops[v] for v, n in graph.items()}
-        home, mass = {v: v for v in graph}, dict(strength)
-        moved_any, moved = False, True
-        while moved:
-            moved = False
-            for v in sorted(graph):
-                links: dict[int, float] = defaultdict(float)
-                for u, w in graph[v].items():
-                    links[home[u]] += w
-                mass[home[v]] -= strength[v]
-                gain = lambda c: links.get(c, 0.0) - resolution * mass.get(c, 0.0) * strength[v] / (2 * total)  # noqa: B023, E731
-                best = min({*links, home[v]}, key=lambda c: (-round(gain(c), 12), c != home[v], c))  # noqa: B023
-                if best != home[v]:
-                    moved = moved_any = True
-                home[v] = best
-                mass[best] = mass.get(best, 0.0) + strength[v]
-        if not moved_any:
-            return group
-        group = {v: home[g] for v, g in group.items()}
-        merged: dict[int, dict[int, float]] = {c: defaultdict(float) for c in set(home.values())}
-        new_loops: dict[int, float] = defaultdict(float)
-        for v, n in graph.items():
-            new_loops[home[v]] += loops[v]
-            for u, w in n.items():
-                if home[u] == home[v]:
-                    new_loops[home[v]] += w / 2
-                else:
-                    merged[home[v]][home[u]] += w
-        graph, loops = merged, {c: new_loops[c] for c in merged}
-
-
-def louvain(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
-    """id, community (its least member): modularity by local moves and merging, in one task a component (communities never cross components)."""
-    parts = edges.join(components(edges), F.col("source_id") == F.col("node")).select("component", "source_id", "target_id", "weight")
-
-    def run(e: pd.DataFrame) -> pd.DataFrame:
-        group = pd.Series(_louvain(_adjacency(e), resolution)).rename("g").rename_axis("id").reset_index()
-        group["community"] = group.groupby("g").id.transform("min")
-        return group[["id", "community"]].astype("int64")
-
-    return parts.groupBy("component").applyInPandas(run, "id long, community long")
-
-
 def topological_levels(tasks: DataFrame) -> DataFrame:
     """id, level for tasks (id, depends_on): 0 without dependencies, else one more than the highest of them; tasks in or behind a cycle or a missing task have none."""
     needs = cut(tasks.select("id", F.explode("depends_on").alias("d")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathom.operators import graph, walks
+from fathom.operators import communities, graph, walks
 from fathom.plans import data
 from fathom.plans.catalogue import query
 
@@ -86,7 +86,7 @@ def label_propagation(spark, d):
 
 @query("louvain")
 def louvain(spark, d):
-    return graph.louvain(data.edges(spark, d))
+    return communities.louvain(graph.cut(data.edges(spark, d)))
 
 
 @query("betweenness")
@@ -96,7 +96,7 @@ def betweenness(spark, d):
 
 @query("articulation_points")
 def articulation_points(spark, d):
-    return graph.articulation_points(data.edges(spark, d))
+    return communities.articulation_points(graph.cut(data.edges(spark, d)))
 
 
 _PAIR = "WITH x AS (SELECT DISTINCT l_orderkey AS k, {0} AS f FROM lineitem), s AS (SELECT k FROM x GROUP BY k HAVING count(*) BETWEEN 1 AND 50), n AS (SELECT max(k) AS n FROM x)"

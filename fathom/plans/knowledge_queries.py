@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathom.operators import dedup, graph, indexing, knowledge
+from fathom.operators import communities, dedup, graph, indexing, knowledge
 from fathom.plans import data
 from fathom.plans.catalogue import query
 from fathom.plans.table_queries import _DECAY, _REF
@@ -73,7 +73,7 @@ def save_decisions(spark, d):
 
 @query("community_summaries")
 def community_summaries(spark, d):
-    groups = graph.louvain(data.edges(spark, d))
+    groups = communities.louvain(data.edges(spark, d))
     return knowledge.community_summaries(data.memories(spark, d), groups).select("community", "size", F.length("summary").alias("chars"))
 
 
