@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _ORACLE: dict[str, str] = {}
-_MODULES = ("retrieval_queries", "text_queries", "table_queries", "graph_queries", "knowledge_queries", "maintenance_queries", "store_queries", "stream_queries")
+_MODULES = ("retrieval_queries", "text_queries", "table_queries", "graph_queries", "knowledge_queries", "maintenance_queries", "store_queries", "stream_queries", "interval_queries")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
