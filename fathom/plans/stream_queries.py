@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from fathom.operators import store
 from fathom.plans import data
 from fathom.plans.catalogue import query
 from fathom.plans.maintenance_queries import WRITE_DECISIONS, flow_events
+from fathom.sources.tail import TranscriptTail
 from fathom.streaming import stateful
 
 #: Batches that a table is replayed in.
@@ -75,3 +77,19 @@ def context_advice(spark, d):
     value = F.when(i % 7 == 0, 2000 + i % 3 * 500).otherwise(F.floor("value") + i)
     events = _activity(spark, d).select("session", "at", "value").withColumnRenamed("value", "event_id").join(data.table(spark, d, "events").select("event_id", F.col("value").alias("value")), "event_id")
     return stateful.replayed(events.select("session", "at", kind.alias("kind"), value.cast("long").alias("value")), stateful.ContextAdvice(), BATCHES)
+
+
+@query("transcript_lines", "SELECT conv_id, turn, role, md5(text) AS text_md5 FROM conversations")
+def transcript_lines(spark, d):
+    """Conversations written as JSON lines and read back as a growing transcript, from byte offsets."""
+    root = store.new_folder(spark, "transcripts")
+    turns = data.table(spark, d, "conversations").select("conv_id", "turn", "role", "text")
+    turns.select(F.to_json(F.struct("conv_id", "turn", "role", "text")).alias("value")).write.text(f"{root}/in")
+    spark.dataSource.register(TranscriptTail)
+    lines = spark.readStream.format("transcript_tail").option("path", f"{root}/in").option("suffix", ".txt").load()
+    rows = lines.select(F.from_json("line", turns.schema).alias("x")).select("x.*")
+    query = rows.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/state").start()
+    query.processAllAvailable()
+    query.stop()
+    found = spark.read.schema(turns.schema).parquet(f"{root}/out")
+    return found.select("conv_id", "turn", "role", F.md5("text").alias("text_md5"))
