@@ -1,13 +1,15 @@
 """Leaderboard change feed of a stream of sale lines (operator 13).
 
-The lines are cut into batches by the day they arrive, with each vendor's nation and each item's price beside them, and written below spark.checkpoint.dir. A streaming query
-with two stateful operators is then started anew for each batch on one checkpoint:
+The lines are cut into batches by the day they arrive, with each vendor's nation and each item's price beside them, and written below spark.checkpoint.dir. A stateful streaming
+query is then started anew for each batch on one checkpoint:
 
-- Slots: a nation's items are dealt into `slots` by hash, so that a nation with a third of all lines is many groups. A group keeps its items' revenues in a MapState, one
-  entry a batch (the items that batch changed and by how much; entries are added up into one when there are `runs` of them), and its saved board. It replays the days of a
-  batch in order: a list ordered by negative revenue and item_id holds the items that the batch changes and the best others, of which no more than a board can matter, and is
-  kept in order by bisection. What a day changed on the group's own board goes on: at most two boards of rows, however many lines there were.
-- Nations: a nation's board is the best of its groups' boards. Its state is their items' revenues and the saved board; days are replayed and boards diffed in the same way.
+A nation's items are dealt into `slots` by hash, so that a nation with a third of all lines is many groups. A group keeps its items' revenues in a MapState, one
+entry a batch (the items that batch changed and by how much; entries are added up into one when there are `runs` of them), and its saved board. It replays the days of a
+batch in order: a list ordered by negative revenue and item_id holds the items that the batch changes and the best others, of which no more than a board can matter, and is
+kept in order by bisection. What a day changed on the group's own board goes out: at most two boards of rows, however many lines there were.
+
+A nation's board is the best of its groups' boards. When the last batch is in, each nation's rows (at most slots x days x two boards) are replayed by day in the same way, and its
+boards diffed. As a second stateful operator in the same query this took two tasks more for each state partition and start, which are what a start costs.
 
 Before lines are shuffled to their groups, a task adds up those with the same nation, item and day, so an item with a third of all lines is a few rows. The joins with vendors
 and items are sort-merge joins outside the stream, where Spark splits skewed keys; nothing is broadcast. The driver gets one number for each batch: its latest day, from
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from fathom.llm.shared import shared_dir
+from fathom.llm.shared import materialise, shared_dir
 
 
 @dataclass(frozen=True)
@@ -69,7 +71,7 @@ def batch_of(arrival: Column, feed: Feed) -> Column:
     return F.least(F.lit(feed.batches), F.greatest(F.lit(1), cut)).cast("int")
 
 
-def prepared(sale_lines: DataFrame, vendors: DataFrame, items: DataFrame, feed: Feed) -> DataFrame:
+def prepared(sale_lines: DataFrame, vendors: DataFrame, items: DataFrame, feed: Feed, root: str) -> DataFrame:
     """Every line with its nation, day, arrival, value in cents and batch; nation_id is null for lines to be ignored."""
     text = F.concat_ws(",", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("sale_id", "item_id", "vendor_id", "line_no")))
     day = F.coalesce(F.unix_date(F.col("shipped_at").cast("date")).cast("long"), feed.first_day + F.col("h") % 150)
@@ -80,8 +82,9 @@ def prepared(sale_lines: DataFrame, vendors: DataFrame, items: DataFrame, feed:
     lines = sale_lines.withColumn("h", F.crc32(text)).select(
         "item_id", "vendor_id", ((day * 32 + wait) * 2 + F.col("amount").isNull().cast("int")).alias("packed"), (sign * F.coalesce(F.floor(100 * F.col("amount") + 0.5), F.col("quantity").cast("long"))).alias("value")
     )
-    nations = vendors.groupBy(F.col("vendor_id").alias("of_vendor")).agg(F.min("nation_id").cast("int").alias("nation_id"))
-    prices = items.groupBy(F.col("item_id").alias("of_item")).agg(F.min("price").alias("price"))
+    # Written first: Spark splits a skewed key only where both sides of the join come straight from a shuffle.
+    nations = materialise(vendors.groupBy(F.col("vendor_id").alias("of_vendor")).agg(F.min("nation_id").cast("int").alias("nation_id")), f"{root}/nations")
+    prices = materialise(items.groupBy(F.col("item_id").alias("of_item")).agg(F.min("price").alias("price")), f"{root}/prices")
     lines = lines.join(nations.hint("merge"), lines.vendor_id == nations.of_vendor, "left").select("item_id", "nation_id", "packed", "value")
     lines = lines.join(prices.hint("merge"), lines.item_id == prices.of_item, "left")
     asks = F.col("packed") % 2 == 1
@@ -200,41 +203,28 @@ class Slots(StatefulProcessor):
         pass
 
 
-class Nations(StatefulProcessor):
-    def __init__(self, feed: Feed):
-        self.feed = feed
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getValueState("revenues", "data binary")
-        self.saved = handle.getValueState("board", "data binary")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        ranking = Ranking(dict(zip(*unpacked(self.known.get()[0], 2).tolist(), strict=True)) if self.known.exists() else {})
-        last = unpacked(self.saved.get()[0], 1)[0].tolist() if self.saved.exists() else []
-        out = []
-        for day, lines in by_day(rows):
-            gone = {}
-            for item, cents, stays in zip(lines["item_id"].tolist(), lines["cents"].tolist(), lines["stays"].tolist(), strict=True):
-                if stays:
-                    ranking.put(item, cents)
-                else:
-                    gone[item] = cents
-                    ranking.drop(item)
-            board = ranking.board(self.feed.size)
-            old, new = ({item: n for n, item in enumerate(b, 1)} for b in (last, board))
-            for item in dict.fromkeys([*board, *last]):
-                was, now = old.get(item), new.get(item)
-                if was != now:
-                    change = "enter" if was is None else "exit" if now is None else "move"
-                    out.append((key[0], day, item, change, was, now, gone[item] if item in gone else ranking.revenue[item]))
-            last = board
-        self.known.update((packed(list(ranking.revenue), list(ranking.revenue.values())),))
-        self.saved.update((packed(last),))
-        made = pd.DataFrame(out, columns=["nation_id", "arrival_day", "item_id", "change", "old_rank", "new_rank", "revenue"])
-        yield made.astype({"old_rank": "Int32", "new_rank": "Int32"})
-
-    def close(self) -> None:
-        pass
+def merged(rows: pd.DataFrame, feed: Feed) -> pd.DataFrame:
+    """A nation's changes from those of its groups' boards (nation_id, arrival, item_id, cents, stays): days replayed, boards diffed."""
+    ranking, last, out = Ranking({}), [], []
+    nation = int(rows["nation_id"].iloc[0]) if len(rows) else 0
+    for day, lines in rows.groupby("arrival", sort=True):
+        gone = {}
+        for item, cents, stays in zip(lines["item_id"].tolist(), lines["cents"].tolist(), lines["stays"].tolist(), strict=True):
+            if stays:
+                ranking.put(item, cents)
+            else:
+                gone[item] = cents
+                ranking.drop(item)
+        board = ranking.board(feed.size)
+        old, new = ({item: n for n, item in enumerate(b, 1)} for b in (last, board))
+        for item in dict.fromkeys([*board, *last]):
+            was, now = old.get(item), new.get(item)
+            if was != now:
+                change = "enter" if was is None else "exit" if now is None else "move"
+                out.append((nation, day, item, change, was, now, gone[item] if item in gone else ranking.revenue[item]))
+        last = board
+    made = pd.DataFrame(out, columns=["nation_id", "arrival_day", "item_id", "change", "old_rank", "new_rank", "revenue"])
+    return made.astype({"old_rank": "Int32", "new_rank": "Int32"})
 
 
 def session_for(spark: SparkSession) -> SparkSession:
@@ -252,7 +242,7 @@ def changes(sale_lines: DataFrame, vendors: DataFrame, items: DataFrame, feed: F
     """nation_id, arrival_day, item_id, batch, change, old_rank, new_rank and revenue of each item whose rank on its nation's board changed on that day."""
     spark = sale_lines.sparkSession
     root = shared_dir(spark)
-    prepared(sale_lines, vendors, items, feed).write.partitionBy("batch").parquet(f"{root}/feed")
+    prepared(sale_lines, vendors, items, feed, root).write.partitionBy("batch").parquet(f"{root}/feed")
     written = spark.read.schema(_LINES).parquet(f"{root}/feed")
     latest = dict(written.groupBy("batch").agg(F.max("day")).collect())  # a row for each batch
     session, bound = session_for(spark), None
@@ -261,7 +251,8 @@ def changes(sale_lines: DataFrame, vendors: DataFrame, items: DataFrame, feed: F
         bound = max(latest[batch], bound) if bound is not None else latest[batch]
     if not latest:
         return spark.createDataFrame([], FEED)
-    out = spark.read.schema(_DIFF).parquet(f"{root}/changes")
+    local = spark.read.schema(_LOCAL).parquet(f"{root}/local")
+    out = local.groupBy("nation_id").applyInPandas(lambda rows: merged(rows, feed), _DIFF)
     return out.withColumn("batch", batch_of(F.col("arrival_day"), feed)).select(*(c.split()[0] for c in FEED.split(", ")))
 
 
@@ -273,6 +264,5 @@ def start(session: SparkSession, root: str, batches: list[int], bound: int | Non
     slot = F.pmod(F.xxhash64("item_id"), F.lit(feed.slots)).cast("int")
     sums = lines.filter(F.col("nation_id").isNotNull()).select("nation_id", slot.alias("slot"), "item_id", "arrival", "cents").mapInArrow(added_up, _SUMS)
     local = sums.groupBy("nation_id", "slot").transformWithStateInPandas(Slots(feed), _LOCAL, "append", "none")
-    boards = local.groupBy("nation_id").transformWithStateInPandas(Nations(feed), _DIFF, "append", "none")
-    query = boards.writeStream.format("parquet").outputMode("append").option("path", f"{root}/changes").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
+    query = local.writeStream.format("parquet").outputMode("append").option("path", f"{root}/local").option("checkpointLocation", f"{root}/state").trigger(availableNow=True).start()
     query.awaitTermination()
