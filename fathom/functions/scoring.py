@@ -45,8 +45,8 @@ def valid_half_open(created: Column, start: Column, end: Column, at: Column) ->
 
 
 def effective_score(quality: Column, age_days: Column, count: Column) -> Column:
-    """Retention by hyperbolic recency and multiplied access."""
-    return F.coalesce(quality, F.lit(0.5)) * (1.0 / (1.0 + 0.01 * age_days)) * F.least(1.0 + 0.1 * count, F.lit(2.0))
+    """Retention by hyperbolic recency and multiplied access, whose factor is tenths divided once: 1.0 + 0.1 * 7 would be one unit in the last place over 1.7."""
+    return F.coalesce(quality, F.lit(0.5)) * (1.0 / (1.0 + 0.01 * age_days)) * F.least((10 + count) / 10.0, F.lit(2.0))
 
 
 def effective_score_decayed(quality: Column, hours: Column, count: Column) -> Column:
