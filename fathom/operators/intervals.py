@@ -58,3 +58,12 @@ def overlapping(a: DataFrame, b: DataFrame, a_low: str, a_high: str, b_low: str,
     starts = points_in(a, b, a_low, b_low, b_high, by)
     later = points_in(b, a.withColumn("__after", F.col(a_low) + 1), b_low, "__after", a_high, by).drop("__after")
     return starts.unionByName(later.select(starts.columns))
+
+
+def on_grid(low: Column, high: Column, size: Column, step: int, width: int) -> Column:
+    """Beginnings of the windows [c, min(c + width, size)), c = 0, step, 2 step, ... below size, that a span low <= x < high shares a number with, as an array: windows on a grid
+    are counted, not joined. An empty span is in none."""
+    first = F.greatest(F.floor((low - width) / step) + 1, F.lit(0))
+    last = F.floor((F.least(high, size) - 1) / step)
+    none = F.array().cast("array<bigint>")
+    return F.when((low < F.least(high, size)) & (first <= last), F.transform(F.sequence(first, F.greatest(first, last)), lambda c: c * step)).otherwise(none)

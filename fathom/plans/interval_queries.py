@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathom.operators import intervals
+from fathom.operators import chunking, intervals
 from fathom.plans import data
 from fathom.plans.catalogue import query
 
@@ -35,11 +35,6 @@ c AS (SELECT doc_id, unnest(range(0, size, 450)) AS lo, size FROM x)"""
 )
 def tokens_on_chunks(spark, d):
     """Words on chunks of 500 characters that overlap by 50, by their characters."""
-    docs = data.table(spark, d, "documents").select("doc_id", "text", F.length("text").cast("long").alias("size")).filter("size > 0")
-    words = docs.select("doc_id", F.posexplode(F.split("text", " ")).alias("k", "word"))
-    ends = F.aggregate(F.split("text", " "), F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.length(x) + 1)))
-    starts = docs.select("doc_id", F.posexplode(ends).alias("k", "a"))
-    tokens = words.join(starts, ["doc_id", "k"]).select("doc_id", (F.col("k") + 1).cast("long").alias("n"), "a", (F.col("a") + F.length("word")).alias("b"))
-    chunks = docs.select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(450).cast("long"))).alias("chunk"), "size").select("doc_id", "chunk", F.least(F.col("chunk") + 500, "size").alias("end"))
-    found = intervals.overlapping(tokens, chunks, "a", "b", "chunk", "end", ("doc_id",))
+    tokens = chunking.word_spans(data.table(spark, d, "documents"))
+    found = tokens.select("doc_id", "n", F.explode(intervals.on_grid(F.col("a"), F.col("b"), F.col("size"), 450, 500)).alias("chunk"))
     return found.groupBy("doc_id", "chunk").agg(F.count(F.lit(1)).alias("n_tokens"), F.min("n").alias("first_token"), F.max("n").alias("last_token"))
