@@ -7,7 +7,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fathom.operators import bm25, hooks, retrieval
+from fathom.operators import bm25, hooks
 
 #: Source of a row that a model has merged from others.
 MERGED = "consolidation-llm"
@@ -72,7 +72,7 @@ def dead_end_decisions(near: DataFrame, threshold: float = 0.85) -> DataFrame:
 def skill_candidates(index: bm25.Index, keywords: DataFrame, limit: int = 15, sure: float = 0.8, most: float = 0.95) -> DataFrame:
     """keywords: query_id, term. Skills by BM25 for each query, best first: query_id, doc_id, score, rank, needs_ranking (whether a model is to rank them, since the best score is
     below `sure`) and confidence (of the best, without a model)."""
-    found = retrieval.top(bm25.scores(index, keywords).withColumn("score", F.round("score", 9)), limit, ["query_id"])
+    found = bm25.top(index, keywords, limit)
     best = F.max("score").over(Window.partitionBy("query_id"))
     return found.select("query_id", "doc_id", "score", "rank", (best < sure).alias("needs_ranking"), F.when(best >= sure, F.least(best, F.lit(most))).alias("confidence"))
 

@@ -83,7 +83,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, do
 def skill_candidates(spark, d):
     """Parts as skills; the types of every hundredth as keywords."""
     p = data.table(spark, d, "part")
-    index = bm25.build(p.select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_type").alias("text")), T.doc_tokens(F.col("text")))
+    index = bm25.build(p.select(F.col("p_partkey").alias("doc_id"), F.concat_ws(" ", "p_name", "p_type").alias("text")), T.doc_tokens(F.col("text")), stored=True)
     asked = bm25.query_terms(p.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("query_id"), F.col("p_type").alias("qt")), T.doc_tokens(F.col("qt")))
     got = maintenance.skill_candidates(index, asked)
     return got.select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "needs_ranking", F.round("confidence", 6).alias("confidence"))
