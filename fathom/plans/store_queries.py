@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fathom.functions import text as T
 from fathom.operators import store, word_index
 from fathom.operators.vector_index import Collection
 from fathom.plans import data
 from fathom.plans.catalogue import query
 from fathom.plans.retrieval_queries import BM25
+from fathom.sources import readers
 
 
 def _collection(spark, d) -> Collection:
@@ -63,12 +63,12 @@ def vector_store_rebuilt(spark, d):
 
 @query("word_index_changed", f"WITH {BM25.replace('FROM documents)', 'FROM documents WHERE doc_id % 5 <> 0)')}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM wsc) SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 5")
 def word_index_changed(spark, d):
-    """Search after half of the documents were indexed, a fifth of all removed, the rest added and segments merged; nothing is tokenized twice."""
-    docs = data.table(spark, d, "documents").select("doc_id", "text", T.doc_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    """Search after half of the documents were indexed, a fifth of all removed, the rest added and segments merged; nothing is tokenized twice but the questions."""
+    docs = readers.spread(data.table(spark, d, "documents").select("doc_id", "text"))
     held = word_index.WordIndex(spark, store.new_folder(spark, "words"))
-    held.add(docs.filter("doc_id % 2 = 0"))
+    held.add_texts(docs.filter("doc_id % 2 = 0"))
     held.remove(docs.filter("doc_id % 5 = 0").select("doc_id"))
     held.merge()
-    held.add(docs.filter("doc_id % 2 = 1 and doc_id % 5 <> 0"))
-    asked = docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), F.explode(F.array_distinct("tokens")).alias("term"))
+    held.add_texts(docs.filter("doc_id % 2 = 1 and doc_id % 5 <> 0"))
+    asked = word_index.text_terms(docs.filter("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), "text"))
     return held.top(asked, 5).select("query_id", "doc_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
